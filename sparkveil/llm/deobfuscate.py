@@ -81,6 +81,9 @@ _TO_ASCII = {ord(a): b for a, b in _LOOKALIKES.items()} | {0xFF01 + i: chr(0x21
 _TO_ASCII |= {c: str(unicodedata.digit(chr(c))) for base in (0x660, 0x6F0, 0x966, 0x9E6, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for c in range(base, base + 10)}
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_TO_ASCII)))) + "]")
 
+#: Characters that take no room.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+
 # The digits' names.
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SURE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
@@ -90,15 +93,17 @@ _SPELLED = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}(?:[ ,.-]{{1,2}}{_NAME}){{2,}}(
 _ONE_NAME = re.compile(_NAME, re.I)
 _AT = re.compile(r"(?i)\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<\s*at\s*>|\(@\)|\[@\])\s*")
 _DOT = re.compile(r"(?i)\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<\s*dot\s*>|\(\.\)|\[\.\])\s*")
-#: Bare words count only as a whole: a name, "at", a name, and one "dot" at least.
-_SAID = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*+)( at )([A-Za-z0-9-]+)((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+# Endings of domains that bare words may have.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|uk|us|de|fr|es|it|nl|eu|ch|at|be|br|pt|pl|se|no|fi|dk|ie|ca|au|nz|jp|cn|in|ru|mx|ar|cl"
+#: Bare words count only as a whole: a name, "at", a name, and "dot" before each further part up to an ending.
+_SAID = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*+)( at )([A-Za-z0-9-]+)((?: dot [A-Za-z0-9-]+)*? dot (?:" + _ENDINGS + r"))(?![A-Za-z0-9-])(?! dot )")
 _BARE_DOT = re.compile(r"(?i) dot ")
 
 
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """Ranges of text that a transducer rewrites, and what they become; in order and apart."""
     low = text.lower()
-    found: list[tuple[int, int, str]] = []
+    found = [] if text.isascii() else [(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)]
     if sum(name in low for name in _SURE) >= 2:
         for m in _SPELLED.finditer(text):
             found.append((m.start(), m.end(), "".join(_NAMES[n.lower()] for n in _ONE_NAME.findall(m[0]))))
@@ -144,7 +149,7 @@ class Folded:
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
         a = self.source[i][0] if self.is_edit[i] else self.source[i][0] + start - self.at[i]
         b = self.source[j][1] if self.is_edit[j] else self.source[j][0] + end - self.at[j]
-        touched = any(self.is_edit[i : j + 1]) or (self.odd and bool(_ODD.search(self.plain_source, a, b)))
+        touched = any(self.is_edit[i : j + 1]) or b - a != end - start or (self.odd and bool(_ODD.search(self.plain_source, a, b)))
         return a, b, touched
 
 

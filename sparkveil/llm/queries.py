@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.llm import bpe, deobfuscate, rules, telephony, urlrules
+from sparkveil.llm import bpe, deobfuscate, hpylm, merkle, mixing, neardup, rules, telephony, toxicity, urlrules
 from sparkveil.llm._common import table
 
 #: The vocabulary that op10 and the pipeline use, by its name among the public tokenizers.
@@ -25,6 +25,10 @@ def rank_file(name: str = TOKENIZER) -> tuple[bytes, str]:
         return file.read(), public_tokenizers.PATTERN
 
 
+def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = telephony.decode_media(telephony.encode_media(docs, keep=["doc_id"]))
@@ -67,6 +71,48 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rul
 """
 
 
+#: One replica record in 128 is damaged, by a hash of its page_id.
+DAMAGED = "substring(md5(cast(page_id AS string)), 1, 2) IN ('00', '01')"
+
+
+def op4_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    primary = pages.select("page_id", merkle.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    # The damage is a flipped letter case in the body: the length stays, as with a flipped bit.
+    damaged = F.when(F.expr(DAMAGED), F.concat(F.upper(F.substring("html", 1, 40)), F.expr("substring(html, 41)"))).otherwise(F.col("html"))
+    replica = pages.select("page_id", merkle.record_bytes(F.col("page_id"), F.col("url"), damaged).alias("record"))
+    return merkle.audit(primary, replica)
+
+
+OP5_SQL = r"""
+WITH records AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+         || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
+         html, substring(md5(page_id::VARCHAR), 1, 2) IN ('00', '01') AS bad
+  FROM pages
+), hashed AS (
+  SELECT page_id, sha256(head || html || chr(13) || chr(10) || chr(13) || chr(10)) AS digest,
+         sha256(head || CASE WHEN bad THEN upper(substring(html, 1, 40)) || substring(html, 41) ELSE html END || chr(13) || chr(10) || chr(13) || chr(10)) AS replica_digest,
+         strlen(head) + strlen(html) + 4 AS length,
+         ('0x' || substring(md5(page_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 256.0))::BIGINT FROM pages) AS file_id
+  FROM records
+)
+SELECT page_id, file_id, row_number() OVER files - 1 AS seq, coalesce(sum(length) OVER (files ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+       length::BIGINT AS length, digest, replica_digest, CASE WHEN digest = replica_digest THEN 'intact' ELSE 'altered' END AS status
+FROM hashed WINDOW files AS (PARTITION BY file_id ORDER BY page_id, digest)
+"""
+
+
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.copies(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "copies")
+
+
 def op7_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deobfuscate.deobfuscate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
@@ -117,6 +163,14 @@ FROM bits
 """
 
 
+def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "lexicon_weight")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, keep=["doc_id"], as_bytes=True)
@@ -124,5 +178,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_telephony_audio, op3_url_rules, op7_deobfuscated_pii, op8_quality_rules, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_telephony_audio, op3_url_rules, op4_hierarchical_pitman_yor, op5_warc_merkle_audit, op6_pivotal_mixing, op7_deobfuscated_pii, op8_quality_rules, op9_toxicity_lexicon, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_warc_merkle_audit": OP5_SQL, "op8_quality_rules": OP8_SQL}
