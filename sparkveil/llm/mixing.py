@@ -160,4 +160,4 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text: str =
     plan = plan.select(F.col("doc_id").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
     same = F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("_mix_key")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_mix_source")) & (word_count(F.col(f"`{text}`")) == F.col("_mix_size"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(plan, same).select(*own, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+    return docs.join(plan.hint("merge"), same).select(*own, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
