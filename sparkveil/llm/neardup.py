@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = stored(signatures(docs, key=key, text=text), "signatures")
     linked = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), "classes")
-    ones = linked.join(classes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
+    # Joins of what grows with the input are merge joins at every size, so that a small table says how a large one fares.
+    ones = linked.join(classes.select("set_a", "set_b", F.col("node").alias("doc_id")).hint("merge"), ["set_a", "set_b", "doc_id"], "left_semi")
     ones = stored(ones.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "nodes")
 
     entries = ones.select("node", F.explode("bands").alias("band"))
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     differ = sum((F.bit_count(_long(F.col("sketch_lo"), i).bitwiseXOR(_long(F.col("sketch_hi"), i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     small = pairs.where((100 * F.least("size_lo", "size_hi") >= PERCENT * F.greatest("size_lo", "size_hi")) & (differ <= sketch_limit())).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
 
-    many = entries.join(buckets.where("n > 2").select("band", "n"), "band").join(sketch, "node")
+    many = entries.join(buckets.where("n > 2").select("band", "n").hint("merge"), "band").join(sketch.hint("merge"), "node")
     cells = in_cells(many, "band", F.col("n"), "node", SKETCH_CHUNK)
     large = by_group(cells.select("band", "cell_i", "cell_j", "own", "node", "n_shingles", "sketch"), ["band", "cell_i", "cell_j"], _sketch_cell, "a bigint, b bigint")
 
@@ -301,13 +302,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     members = clusters.join(sizes, "component")
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("node"), F.col(f"`{text}`").alias("text"))
-    with_text = in_cells(texts.join(members, "node"), "component", F.col("n"), "node", TEXT_CHUNK)
+    with_text = in_cells(texts.join(members.hint("merge"), "node"), "component", F.col("n"), "node", TEXT_CHUNK)
     links = by_group(with_text.select("component", "cell_i", "cell_j", "own", "node", "text"), ["component", "cell_i", "cell_j"], _text_cell, "a bigint, b bigint")
     joined = components(links)
 
     known = classes.join(joined, "node", "left").where("members > 1 OR component IS NOT NULL")
     known = known.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
-    out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["set_a", "set_b", "n_shingles"], "left")
+    out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(known.hint("merge"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
