@@ -8,10 +8,10 @@ out. Predictive probabilities are averaged over the sweeps kept.
 
 Distribution. Blocks of documents reduce their tokens to distinct (word, class) pairs with counts; these go, in
 compressed arrays, to the shard that owns the word, so that a frequent word costs each block one entry a class
-however often it occurs. Restaurants of contexts span shards: what is global is a table count for each class and
-a few sums, of fixed size. A first job samples with global numbers extrapolated from its shard and returns the
-sums; the second burns in and averages with them, and replies to each block with the probabilities of its pairs.
-All shards see all words and all documents are scored, held-out ones too.
+however often it occurs. Shards are stored, one row each. Restaurants of contexts span shards: what is global is
+two counts for each class and a few sums, of fixed size. A first job samples with global numbers extrapolated from
+its shard and returns the sums; the second burns in and averages with them, and replies to each block with the
+probabilities of its pairs. The blocks are then formed again, from the same partitions, to add up their documents.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm._common import expose, map_arrow, slices, stored
+from sparkveil.llm._common import map_arrow, slices, stored
 from sparkveil.llm._words import mix, word_hashes
 
 #: Context classes; tokens of a block; bytes of text for which a shard of words is set up.
-CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 12, 1 << 20, 64 << 20
+CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 12, 1 << 20, 16 << 20
 CLASSES = 1 << CLASS_BITS
 #: Customers up to which each count has its own row of Stirling numbers, up to which any has, and tables of a row.
 EXACT, LIMIT, TABLES = 256, 8192, 2048
@@ -86,23 +86,14 @@ def _row(block: int, shard: int, blob: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["block", "shard", "blob"])
 
 
-def _blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """For each block: one row with its documents as sequences of pair numbers (shard -1), one row a shard with
-    the block's distinct pairs of that shard's words, and one with its training tokens by class (shard -2)."""
+def _blocks(docs: DataFrame, shards: int, part: str) -> DataFrame:
+    """For each block, by `part`: "pairs", a row for each shard with the block's distinct pairs of its words; or
+    "docs", a row (shard -1) with its documents as sequences of pair numbers. Blocks follow the partitions of docs."""
 
-    def flush(block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for a in range(0, len(texts), 512):
-            keys, bounds = pair_keys(texts[a : a + 512])
-            parts.append((keys, np.diff(bounds)))
-        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        held = np.array([is_held_out(i) for i in ids])
+    def pairs_of(block: int, keys: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs, number = np.unique(keys, return_inverse=True)
-        trained = np.bincount(number[np.repeat(~held, counts)], minlength=len(pairs)).astype(np.uint32)
-        yield _row(block, -1, _pack(ids=np.array([0 if i is None else i for i in ids], np.int64), null=np.array([i is None for i in ids], np.uint8), held=held.astype(np.uint8), counts=counts.astype(np.uint32), pairs=number.astype(np.uint32)))
-        classes = (pairs & np.uint64(CLASSES - 1)).astype(np.uint16)
-        yield _row(block, -2, _pack(tokens=np.bincount(classes, weights=trained, minlength=CLASSES).astype(np.int64)))
-        words = pairs >> np.uint64(CLASS_BITS)
+        trained = np.bincount(number[train], minlength=len(pairs)).astype(np.uint32)
+        classes, words = (pairs & np.uint64(CLASSES - 1)).astype(np.uint16), pairs >> np.uint64(CLASS_BITS)
         owner = ((words >> np.uint64(20)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(owner, np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -112,6 +103,18 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                 sizes = np.diff(np.concatenate((np.flatnonzero(fresh), [b - a])))
                 yield _row(block, s, _pack(words=np.diff(own, prepend=np.uint64(0)), sizes=sizes.astype(np.uint16), classes=classes[a:b], trained=trained[a:b]))
 
+    def flush(block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [pair_keys(texts[a : a + 512]) for a in range(0, len(texts), 512)]
+        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
+        held = np.array([is_held_out(i) for i in ids])
+        if part == "pairs":
+            yield from pairs_of(block, keys, np.repeat(~held, counts))
+        else:
+            pairs, number = np.unique(keys, return_inverse=True)
+            null = np.array([i is None for i in ids], np.uint8)
+            ids = np.array([0 if i is None else i for i in ids], np.int64)
+            yield _row(block, -1, _pack(ids=ids, null=null, held=held.astype(np.uint8), counts=counts.astype(np.uint32), pairs=number.astype(np.uint32), distinct=np.array([len(pairs)], np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
@@ -129,6 +132,16 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
     return map_arrow(docs, run, _ROW)
 
 
+def _shards(pairs: DataFrame) -> DataFrame:
+    """(shard, blocks, blobs), a row for each shard."""
+
+    def run(key, group):  # without hints, Spark takes these for a key and a table
+        group = group.sort_by("block").combine_chunks()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "blobs": pa.array([group.column("blob").to_pylist()], pa.list_(pa.binary()))})
+
+    return pairs.groupBy("shard").applyInArrow(run, "shard int, blocks array<bigint>, blobs array<binary>")
+
+
 class Stirling:
     """Generalised Stirling numbers S(c, t) of a discount d, the ways to seat c customers at t tables.
 
@@ -224,6 +237,7 @@ class Shard:
         arrived = self.arrived()
         return {
             "tables": np.bincount(self.classes, weights=self.tables, minlength=CLASSES),
+            "tokens": np.bincount(self.classes, weights=self.customers, minlength=CLASSES),
             "root_customers": float(arrived.sum()),
             "root_tables": float(self.root_tables.sum()),
             "words": float(np.count_nonzero(self.tokens)),
@@ -251,73 +265,55 @@ class Shard:
         base = (THETA_WORD + d0 * g["root_tables"]) * (1 - UNKNOWN) / max(g["words"], 1)
         self.root_tables = seat(self.arrived(), np.full(len(self.tokens), base), d0, rng)
 
-    def predictive(self, g: dict, class_tokens: np.ndarray) -> np.ndarray:
+    def predictive(self, g: dict) -> np.ndarray:
         d = _discount(g["ones"], g["twos"])
         back = (THETA_CONTEXT + d * g["tables"])[self.classes] * self.word_probability(g)[self.word]
-        return (self.customers - d * self.tables + back) / (THETA_CONTEXT + class_tokens)[self.classes]
+        return (self.customers - d * self.tables + back) / (THETA_CONTEXT + g["tokens"])[self.classes]
 
 
 _NUMBERS = ("root_customers", "root_tables", "words", "ones", "twos", "root_ones", "root_twos")
 
 
-def _class_tokens(rows: DataFrame) -> np.ndarray:
-    """Training tokens in each context class; CLASSES numbers whatever the input."""
+def _totals(stored_shards: DataFrame, shards: int, seed: int) -> dict:
+    """Global numbers after the first sweeps, in which each shard stands for all; 2 * CLASSES numbers and a few,
+    whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
+        total = np.zeros(2 * CLASSES + len(_NUMBERS))
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += _unpack(blob)["tokens"]
-        yield pa.record_batch([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total)], names=["place", "n"])
-
-    out = np.zeros(CLASSES)
-    for r in map_arrow(rows.select("blob"), run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        out[r["place"]] = r["n"]
-    return out
-
-
-def _totals(pairs: DataFrame, shards: int, seed: int) -> dict:
-    """Global numbers after the first sweeps, in which each shard stands for all."""
-
-    def run(key, group):  # without hints, Spark takes these for a key and a table
-        shard = Shard(group.column("blob").to_pylist())
-        rng = np.random.default_rng([seed, key[0].as_py(), 0])
-        for _ in range(BURN_IN):
-            g = {k: v * shards for k, v in shard.sums().items()}
-            shard.sweep(g, rng)
-        s = shard.sums()
-        values = np.concatenate((s["tables"], [s[n] for n in _NUMBERS]))
-        return pa.table({"place": pa.array(np.arange(len(values)), pa.int32()), "value": pa.array(values, pa.float64())})
-
-    expose(pairs.sparkSession)
-    rows = pairs.groupBy("shard").applyInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    flat = np.zeros(CLASSES + len(_NUMBERS))
-    for r in rows:
+            for number, blobs in zip(batch.column(0).to_pylist(), batch.column(2)):
+                shard, rng = Shard(blobs.as_py()), np.random.default_rng([seed, number, 0])
+                for _ in range(BURN_IN):
+                    shard.sweep({k: v * shards for k, v in shard.sums().items()}, rng)
+                s = shard.sums()
+                total += np.concatenate((s["tables"], s["tokens"], [s[n] for n in _NUMBERS]))
+        yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["place", "value"])
+
+    flat = np.zeros(2 * CLASSES + len(_NUMBERS))
+    for r in map_arrow(stored_shards, run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
         flat[r["place"]] = r["value"]
-    return {"tables": flat[:CLASSES]} | dict(zip(_NUMBERS, flat[CLASSES:].tolist()))
+    return {"tables": flat[:CLASSES], "tokens": flat[CLASSES : 2 * CLASSES]} | dict(zip(_NUMBERS, flat[2 * CLASSES :].tolist()))
 
 
-def _replies(pairs: DataFrame, g: dict, class_tokens: np.ndarray, seed: int) -> DataFrame:
+def _replies(stored_shards: DataFrame, g: dict, seed: int) -> DataFrame:
     """For each block and shard: training tokens of the block's words there, and log10 probabilities of its pairs."""
 
-    def run(key, group):
-        group = group.sort_by("block")
-        shard = Shard(group.column("blob").to_pylist())
-        rng = np.random.default_rng([seed, key[0].as_py(), 1])
-        total = np.zeros(len(shard.classes))
-        for i in range(BURN_IN + KEPT):
-            shard.sweep(g, rng)
-            if i >= BURN_IN:
-                total += shard.predictive(g, class_tokens)
-        chance = np.log10(total / KEPT).astype(np.float32)
-        blobs = []
-        for part, a, b in zip(shard.parts, shard.cuts[:-1], shard.cuts[1:]):
-            number = shard.number[a:b]
-            heads = np.cumsum(part["sizes"], dtype=np.int64) - part["sizes"]
-            blobs.append(_pack(known=shard.tokens[shard.word[number[heads]]].astype(np.uint32), sizes=part["sizes"], chance=chance[number]))
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
-
-    return pairs.groupBy("shard").applyInArrow(run, _ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blocks, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                shard, rng = Shard(blobs.as_py()), np.random.default_rng([seed, number, 1])
+                total = np.zeros(len(shard.classes))
+                for i in range(BURN_IN + KEPT):
+                    shard.sweep(g, rng)
+                    if i >= BURN_IN:
+                        total += shard.predictive(g)
+                chance = np.log10(total / KEPT).astype(np.float32)
+                for block, part, a, b in zip(blocks, shard.parts, shard.cuts[:-1], shard.cuts[1:]):
+                    own = shard.number[a:b]
+                    heads = np.cumsum(part["sizes"], dtype=np.int64) - part["sizes"]
+                    yield _row(block, number, _pack(known=shard.tokens[shard.word[own[heads]]].astype(np.uint32), sizes=part["sizes"], chance=chance[own]))
+
+    return map_arrow(stored_shards, run, _ROW)
 
 
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -335,13 +331,10 @@ def language_model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, ceil(size / SHARD_BYTES))
-    blocks = stored(_blocks(rows, shards), "blocks")
-    class_tokens = _class_tokens(blocks.where("shard = -2"))
-    train_tokens = int(class_tokens.sum())
-    pairs = blocks.where("shard >= 0")
-    g = _totals(pairs, shards, seed)
-    words = int(g["words"])
+    known_pairs = stored(_shards(_blocks(rows, shards, "pairs")), "shards")
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the finished job's shuffle files
+    g = _totals(known_pairs, shards, seed)
+    train_tokens, words = int(g["tokens"].sum()), int(g["words"])
 
     def run(key, group):
         group = group.sort_by("shard")
@@ -349,6 +342,8 @@ def language_model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "
         docs, replies = found[0], found[1:]
         known = np.concatenate([np.repeat(r["known"], r["sizes"]) for r in replies])
         chance = np.concatenate([r["chance"] for r in replies])
+        if len(chance) != docs["distinct"][0]:
+            raise RuntimeError("the input was read in other partitions the second time")
         base = np.log10((known + 1.0) / (train_tokens + words + 1.0))
         starts = np.cumsum(docs["counts"], dtype=np.int64) - docs["counts"]
         sums = [np.add.reduceat(v[docs["pairs"]], starts) for v in (base, chance.astype(float), (known > 0).astype(np.int64))]
@@ -363,5 +358,5 @@ def language_model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "
             "score": pa.array(sums[1]),
         })
 
-    together = blocks.where("shard = -1").unionByName(_replies(pairs, g, class_tokens, seed))
+    together = _blocks(rows, shards, "docs").unionByName(_replies(known_pairs, g, seed))
     return together.groupBy("block").applyInArrow(run, _SCORES)

@@ -83,11 +83,11 @@ def test_predictive_probabilities_sum_to_one():
     classes = len(every) // len(words)
     blob = hpylm._pack(words=np.diff(words, prepend=np.uint64(0)), sizes=np.full(len(words), classes, np.uint16), classes=(every & np.uint64(4095)).astype(np.uint16), trained=trained)
     shard, rng = hpylm.Shard([blob]), np.random.default_rng(0)
-    tokens = np.bincount(shard.classes, weights=shard.customers, minlength=hpylm.CLASSES)
     g = shard.sums()
+    tokens = g["tokens"]
     shard.sweep(g, rng)
     g = shard.sums()
-    known = np.bincount(shard.classes, weights=shard.predictive(g, tokens), minlength=hpylm.CLASSES)[np.unique(shard.classes)]
+    known = np.bincount(shard.classes, weights=shard.predictive(g), minlength=hpylm.CLASSES)[np.unique(shard.classes)]
     d = hpylm._discount(g["ones"], g["twos"])
     own = np.unique(shard.classes)
     d0 = hpylm._discount(g["root_ones"], g["root_twos"])
