@@ -56,53 +56,52 @@ def manifest(records: DataFrame, files: int, *, key: str = "page_id", record: st
 
 
 @dataclass
-class Tree:
-    """Nodes by level: level 0 has (file_id, place, hash) leaves; levels up to `within` are of files, the rest
-    of the collection, whose file_id is -1."""
+class Trees:
+    """Nodes of all replicas by level, (replica, file_id, place, hash), each level stored: level 0 has the leaves,
+    levels up to `within` are of files, the rest of the collection, whose file_id is -1."""
 
     levels: list[DataFrame]
     within: int
 
 
-def _up(level: DataFrame, place: Column, file_id: Column) -> DataFrame:
+def _up(level: DataFrame, file_id: Column, place: Column) -> DataFrame:
     children = F.sort_array(F.collect_list(F.struct("place", "hash")))
     joined = F.array_join(F.transform(children, lambda c: c["hash"]), "")
-    return level.groupBy(file_id.alias("file_id"), place.alias("parent")).agg(F.sha2(joined, 256).alias("hash")).select("file_id", F.col("parent").alias("place"), "hash")
+    up = level.groupBy("replica", file_id.alias("file_id"), place.alias("parent")).agg(F.sha2(joined, 256).alias("hash"))
+    return stored(up.select("replica", "file_id", F.col("parent").alias("place"), "hash"), "level")
 
 
-def tree(entries: DataFrame, files: int, longest: int) -> Tree:
-    """The tree over a manifest with `files` files of at most `longest` records. A node gathers FANOUT children at
-    most. An empty manifest has no nodes on any level."""
+def trees(entries: DataFrame, files: int, longest: int) -> Trees:
+    """The trees over manifests (with a column `replica`) of `files` files of at most `longest` records. A node
+    gathers FANOUT children at most. An empty manifest has no nodes on any level."""
     leaf = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
-    levels = [entries.select("file_id", F.col("seq").alias("place"), leaf.alias("hash"))]
-    size = longest
+    levels = [entries.select("replica", "file_id", F.col("seq").alias("place"), leaf.alias("hash"))]
+    parent, size = F.floor(F.col("place") / FANOUT), longest
     while size > 1 or len(levels) == 1:
-        levels.append(_up(levels[-1], F.floor(F.col("place") / FANOUT), F.col("file_id")))
+        levels.append(_up(levels[-1], F.col("file_id"), parent))
         size = ceil(size / FANOUT)
-    within = len(levels) - 1
-    roots = levels[-1].select(F.lit(-1).cast("bigint").alias("file_id"), F.col("file_id").alias("place"), "hash")
-    size = files
+    within, size = len(levels) - 1, files
+    below = levels[-1].select("replica", F.lit(-1).cast("bigint").alias("file_id"), F.col("file_id").alias("place"), "hash")
     while size > 1 or len(levels) == within + 1:
-        levels.append(_up(roots if len(levels) == within + 1 else levels[-1], F.floor(F.col("place") / FANOUT), F.col("file_id")))
-        size = ceil(size / FANOUT)
-    return Tree(levels, within)
-
-
-def differing(a: Tree, b: Tree) -> DataFrame:
-    """(file_id, place) of the leaves that differ or that one replica lacks, reached from the roots through
-    differing nodes alone."""
-    found: DataFrame | None = None
-    for k in range(len(a.levels) - 1, -1, -1):
-        x, y = (t.levels[k].select("file_id", "place", F.col("hash").alias(f"hash_{n}")) for n, t in (("a", a), ("b", b)))
-        if found is not None:
-            if k == a.within:  # from the collection's tree down to the files' own roots
-                spread = found.select(F.explode(F.sequence(F.col("place") * FANOUT, F.col("place") * FANOUT + (FANOUT - 1))).alias("file_id"))
-                x, y = (side.join(spread, "file_id", "left_semi") for side in (x, y))
-            else:
-                spread = found.select("file_id", F.explode(F.sequence(F.col("place") * FANOUT, F.col("place") * FANOUT + (FANOUT - 1))).alias("place"))
-                x, y = (side.join(spread, ["file_id", "place"], "left_semi") for side in (x, y))
-        found = x.join(y, ["file_id", "place"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("file_id", "place")
-    return found
+        levels.append(_up(below, F.col("file_id"), parent))
+        below, size = levels[-1], ceil(size / FANOUT)
+    return Trees(levels, within)
+
+
+def differing(found_in: Trees) -> DataFrame:
+    """(file_id, place) of the leaves on which replicas 0 and 1 differ or that one lacks, reached from the roots
+    through differing nodes alone."""
+    wrong: DataFrame | None = None
+    for k in range(len(found_in.levels) - 1, -1, -1):
+        level = found_in.levels[k]
+        if wrong is not None:
+            children = F.explode(F.sequence(F.col("place") * FANOUT, F.col("place") * FANOUT + (FANOUT - 1)))
+            # From the collection's tree down to the files' own roots, a place is the number of a file.
+            on = ["file_id"] if k == found_in.within else ["file_id", "place"]
+            level = level.join(wrong.select(children.alias("file_id")) if k == found_in.within else wrong.select("file_id", children.alias("place")), on, "left_semi")
+        sides = [F.max(F.when(F.col("replica") == r, F.col("hash"))) for r in (0, 1)]
+        wrong = level.groupBy("file_id", "place").agg(sides[0].alias("a"), sides[1].alias("b")).where("NOT (a <=> b)").select("file_id", "place")
+    return wrong
 
 
 def audit(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", record: str = "record") -> DataFrame:
@@ -114,12 +113,11 @@ def audit(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", recor
     change their length differs from there to its file's end, as byte ranges do.
     """
     files = file_count(primary)
-    left, right = (stored(manifest(side, files, key=key, record=record), "manifest") for side in (primary, replica))
-    longest = (left.agg(F.max("seq")).union(right.agg(F.max("seq")))).agg(F.max("max(seq)")).first()[0]
-    if longest is None:
-        longest = 0
-    a, b = tree(left, files, longest + 1), tree(right, files, longest + 1)
-    wrong = differing(a, b).select("file_id", F.col("place").alias("seq"), F.lit(True).alias("differs"))
+    sides = [manifest(side, files, key=key, record=record).withColumn("replica", F.lit(i)) for i, side in enumerate((primary, replica))]
+    entries = stored(sides[0].unionByName(sides[1]), "manifest")
+    longest = entries.agg(F.max("seq")).first()[0] or 0
+    left, right = (entries.where(F.col("replica") == i).drop("replica") for i in (0, 1))
+    wrong = stored(differing(trees(entries, files, longest + 1)), "differing").select("file_id", F.col("place").alias("seq"), F.lit(True).alias("differs"))
     other = right.join(wrong, ["file_id", "seq"], "left_semi").select("file_id", "seq", F.col(f"`{key}`").alias("other_key"), F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("digest").alias("replica_digest"))
     both = left.join(wrong, ["file_id", "seq"], "left").withColumn("here", F.lit(True)).join(other, ["file_id", "seq"], "full")
     status = F.when(F.col("here").isNull(), "extra").when(F.col("differs").isNull(), "intact").when(F.col("replica_digest").isNull(), "missing").otherwise("altered")
