@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:"):
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
