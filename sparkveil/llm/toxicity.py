@@ -27,6 +27,8 @@ from sparkveil.llm._common import map_arrow, slices, stored
 FIT_ROWS = 20_000
 #: Lengths of lexicon terms, toxic rows a term must stand in, terms kept, and the least weight of one.
 TERM_CHARS, MIN_ROWS, MAX_TERMS, MIN_WEIGHT = range(4, 11), 6, 5_000, 3.0
+#: A term must stand in this share of the toxic rows too; it is made longer as long as it keeps such a share of its rows.
+MIN_SHARE, SAME_SHARE = 0.02, 0.97
 
 #: Phrases whose lexicon terms are meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "pathetic fallacy")
@@ -136,15 +138,21 @@ def _count_terms(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 
 def choose_terms(positive: dict[str, int], negative: dict[str, int], rows: tuple[int, int]) -> dict[str, float]:
-    """Log-odds weights of the terms that mark toxic rows; of nested terms the shortest that does so stands."""
+    """Log-odds weights of the terms that mark toxic rows. Of nested terms the shortest that does so is found, then
+    made longer while nearly all its rows have the longer one, so that it says no more than it was learned from."""
+    longer: dict[str, list[str]] = {}
+    for term in positive:
+        longer.setdefault(term[:-1], []).append(term)
     out: dict[str, float] = {}
     for term in sorted(positive, key=lambda t: (len(t), t)):
         if any(term[:n] in out for n in TERM_CHARS if n < len(term)):
             continue
         n, other = positive[term], negative.get(term, 0)
         weight = math.log((n + 0.5) / (rows[0] + 1)) - math.log((other + 0.5) / (rows[1] + 1))
-        if n >= MIN_ROWS and weight >= MIN_WEIGHT and 20 * other <= n:
-            out[term] = min(weight, 8.0)
+        if n >= max(MIN_ROWS, MIN_SHARE * rows[0]) and weight >= MIN_WEIGHT and 20 * other <= n:
+            while best := max((t for t in longer.get(term, ()) if positive[t] >= SAME_SHARE * positive[term]), key=lambda t: (positive[t], t), default=None):
+                term = best
+            out[term] = max(out.get(term, 0.0), min(weight, 8.0))
     return dict(sorted(out.items(), key=lambda x: (-x[1] * positive[x[0]], x[0]))[:MAX_TERMS])
 
 
