@@ -73,34 +73,46 @@ def without_contained(spans: Column) -> Column:
     return F.filter(ranked, lambda x: ~F.exists(ranked, lambda y: beaten(x, y)))
 
 
+def scan_all(docs: DataFrame, entities: tuple[str, ...], *, column: str = "text", out: str = "spans_") -> DataFrame:
+    """Add a column `out` + entity for each recogniser: array of SPAN, with tiers applied. Null texts have none.
+
+    The steps of all recognisers go side by side, one projection a step, however many there are.
+    """
+    body, none = F.col(column), F.array().cast(f"array<{text.SPAN}>")
+    hits, scored, seen, final = {}, {}, {}, {}
+    for entity in entities:
+        r = RECOGNIZERS[entity]
+        gate = body.rlike(r.hint)
+        test = r.validator("h.value", "h.digits") if r.validator else "false"
+        parts = []
+        for i, (pattern, base) in enumerate(r.patterns):
+            name = f"_{entity}_{i}"
+            hits[name] = F.when(gate, text.matches(body, _FLAGS + pattern)).otherwise(none)
+            digits = f"transform({name}, h -> struct(h.start as start, h.end as end, h.value as value, regexp_replace(h.value, '[^0-9]', '') as digits))"
+            valid = f"transform({digits}, h -> struct(h.start as start, h.end as end, h.value as value, {test} as valid))"
+            parts.append(f"transform({valid}, h -> struct(h.start as start, h.end as end, '{entity}' as entity, case when h.valid then 1.0d else {base}d end as score, h.value as value, h.valid as valid))")
+        scored[f"_{entity}"] = F.expr(f"concat({', '.join(parts)})")
+        if r.validator is None:
+            seen[f"_{entity}"] = without_contained(F.col(f"_{entity}"))
+            done = f"transform(_{entity}, h -> struct(h.start as start, h.end as end, h.entity as entity, h.score as score, cast(null as string) as note))"
+        else:
+            window = f"substr({column}, greatest(h.start - {dims.LOOK_BACK}, 0) + 1, least(h.start, {dims.LOOK_BACK}))"
+            near = anchored(_folded_sql(window), r.anchors)
+            seen[f"_{entity}"] = without_contained(F.col(f"_{entity}"))
+            kept_valid = f"case when s.near then s.h.score else least(s.h.score, {dims.AMBIGUOUS_SCORE}d) end" if r.ambiguous else "s.h.score"
+            masked = r"s.h.value rlike '[./\\-]'"
+            score = f"case when s.h.valid then {kept_valid} when {masked} then greatest(s.h.score, {dims.MASKED_SCORE}d) when s.near then greatest(s.h.score, {dims.ANCHORED_SCORE}d) end"
+            done = f"filter(transform(transform(_{entity}, h -> struct(h, {near} as near)), s -> struct(s.h.start as start, s.h.end as end, s.h.entity as entity, {score} as score, case when not s.h.valid then '{INVALID}' end as note)), s -> s.score is not null)"
+        whole = F.coalesce(F.expr(done).cast(f"array<{SPAN}>"), F.array().cast(f"array<{SPAN}>"))
+        final[f"{out}{entity}"] = text.fence(whole)
+    at = docs.withColumns(hits).withColumns(scored).withColumns(seen).withColumns(final)
+    return at.select(*(c for c in docs.columns if c not in final), *final)
+
+
 def scan(docs: DataFrame, entity: str, *, column: str = "text", out: str = "spans") -> DataFrame:
-    """Add `out`: array of SPAN, what one recogniser finds, with tiers applied. Null texts have none."""
-    r = RECOGNIZERS[entity]
-    body = F.col(column)
-    gate = body.rlike(r.hint)
-    none = F.array().cast(f"array<{text.SPAN}>")
-    at = docs
-    for i, (pattern, _) in enumerate(r.patterns):
-        at = at.withColumn(f"_hits{i}", F.when(gate, text.matches(body, _FLAGS + pattern)).otherwise(none))
-    test = r.validator("h.value", "h.digits") if r.validator else "false"
-    scored = []
-    for i, (_, base) in enumerate(r.patterns):
-        digits = f"transform(_hits{i}, h -> struct(h.start as start, h.end as end, h.value as value, regexp_replace(h.value, '[^0-9]', '') as digits))"
-        valid = f"transform({digits}, h -> struct(h.start as start, h.end as end, h.value as value, {test} as valid))"
-        scored.append(f"transform({valid}, h -> struct(h.start as start, h.end as end, '{entity}' as entity, case when h.valid then 1.0d else {base}d end as score, h.value as value, h.valid as valid))")
-    at = at.withColumn("_scored", F.expr(f"concat({', '.join(scored)})")).withColumn("_scored", without_contained(F.col("_scored")))
-    if r.validator is None:
-        tiers = "transform(_scored, h -> struct(h.start as start, h.end as end, h.entity as entity, h.score as score, cast(null as string) as note))"
-        final = F.expr(tiers)
-    else:
-        window = f"substr({column}, greatest(h.start - {dims.LOOK_BACK}, 0) + 1, least(h.start, {dims.LOOK_BACK}))"
-        at = at.withColumn("_seen", F.expr(f"transform(_scored, h -> struct(h, {anchored(_folded_sql(window), r.anchors)} as near))"))
-        kept_valid = f"case when s.near then s.h.score else least(s.h.score, {dims.AMBIGUOUS_SCORE}d) end" if r.ambiguous else "s.h.score"
-        masked = r"s.h.value rlike '[./\\-]'"
-        score = f"case when s.h.valid then {kept_valid} when {masked} then greatest(s.h.score, {dims.MASKED_SCORE}d) when s.near then greatest(s.h.score, {dims.ANCHORED_SCORE}d) end"
-        final = F.expr(f"filter(transform(_seen, s -> struct(s.h.start as start, s.h.end as end, s.h.entity as entity, {score} as score, case when not s.h.valid then '{INVALID}' end as note)), s -> s.score is not null)")
-    whole = F.coalesce(final.cast(f"array<{SPAN}>"), F.array().cast(f"array<{SPAN}>"))
-    return at.withColumn(out, text.fence(whole)).select(*(c for c in docs.columns if c != out), out)
+    """Add `out`: array of SPAN, what one recogniser finds, with tiers applied."""
+    at = scan_all(docs, (entity,), column=column, out="_found_")
+    return at.select(*(c for c in docs.columns if c != out), F.col(f"_found_{entity}").alias(out))
 
 
 def _folded_sql(x: str) -> str:
@@ -112,13 +124,13 @@ def detect(docs: DataFrame, *, column: str = "text", out: str = "spans", thresho
     Blank texts have none."""
     from sparkveil.operators import resolve
 
-    chosen = [e for e in RECOGNIZERS if entities is None or e in entities]
-    at = docs
-    for entity in chosen:
-        at = scan(at, entity, column=column, out=f"_{entity}")
-    found = F.concat(*(F.col(f"_{e}") for e in chosen)) if chosen else F.array().cast(f"array<{SPAN}>")
-    kept = F.filter(without_contained(found), lambda s: (s["score"] >= threshold) & (s["end"] > s["start"]))
-    at = at.withColumn(out, F.when(F.length(F.trim(F.col(column))) > 0, kept).otherwise(F.array().cast(f"array<{SPAN}>")))
+    chosen = tuple(e for e in RECOGNIZERS if entities is None or e in entities)
+    at = scan_all(docs, chosen, column=column, out="_found_") if chosen else docs
+    found = F.concat(*(F.col(f"_found_{e}") for e in chosen)) if chosen else F.array().cast(f"array<{SPAN}>")
+    kept = F.filter(F.col(out), lambda s: (s["score"] >= threshold) & (s["end"] > s["start"]))
+    none = F.array().cast(f"array<{SPAN}>")
+    at = at.select(*(c for c in docs.columns if c != out), without_contained(found).alias(out))
+    at = at.withColumn(out, F.when(F.length(F.trim(F.col(column))) > 0, kept).otherwise(none))
     at = resolve.resolve(resolve.disambiguate(at, column=column, spans=out), spans=out)
     return at.select(*(c for c in docs.columns if c != out), text.fence(F.col(out)).alias(out))
 
