@@ -64,6 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_prefix(columns: list[str]) -> str:
+    """A prefix for columns of an operator's own that no given column starts with."""
+    prefix = "_v"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     expose(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm._common import expose, stored
+from sparkveil.llm._common import expose, spare_prefix, stored
 
 #: Units that a leaf of the reduction tree settles, about, and residuals that a node above combines.
 LEAF_UNITS, FANIN = 10_000, 1_000
@@ -157,7 +157,8 @@ def copies(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text: str
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
     """The mixed documents themselves: each row as often as its copies say, none where they are 0; all columns."""
     plan = copies(docs, weights=weights, text=text, source=source, key=key, seed=seed).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    same = F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("_mix_key")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_mix_source")) & (word_count(F.col(f"`{text}`")) == F.col("_mix_size"))
+    mine = spare_prefix(docs.columns)
+    plan = plan.select(F.col("doc_id").alias(f"{mine}key"), F.col("source").alias(f"{mine}source"), F.col("size").alias(f"{mine}size"), F.col("copies").alias(f"{mine}copies"))
+    same = F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col(f"{mine}key")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col(f"{mine}source")) & (word_count(F.col(f"`{text}`")) == F.col(f"{mine}size"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(plan.hint("merge"), same).select(*own, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+    return docs.join(plan.hint("merge"), same).select(*own, F.explode(F.array_repeat(F.lit(1), F.col(f"{mine}copies"))).alias(f"{mine}copy")).drop(f"{mine}copy")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.llm._common import spare_prefix
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -63,33 +65,34 @@ def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Add the measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letters (all
     long). A null text counts as empty: all of them 0. They replace columns of their name."""
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters"]
-    inner = {"_text", "_words", "_hashes", "_places", "_lines"}
-    if inner & set(docs.columns):
-        raise ValueError(f"columns named {sorted(inner)} are this operator's own")
+    own = spare_prefix(docs.columns)
+    body, words, hashes, pairs, places, lines = (f"{own}{n}" for n in ("text", "words", "hashes", "pairs", "places", "lines"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    at = docs.select(*others, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    at = at.select("*", F.filter(F.split("_text", _SPACE), lambda w: w != "").alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0).alias("_lines"))
-    at = at.select("*", _covered(F.col("_words")).alias("_hashes"))
-    pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    at = docs.select(*others, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
+    at = at.select("*", F.filter(F.split(body, _SPACE), lambda w: w != "").alias(words), F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0).alias(lines))
+    at = at.select("*", _covered(F.col(words)).alias(hashes))
+    ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Only texts with an equal pair of windows pay for the sort.
-    sorted_pairs = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    at = at.select("*", sorted_pairs.alias("_pairs"))
-    m = F.size("_pairs")
-    same = F.zip_with(F.slice("_pairs", F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice("_pairs", F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    at = at.select("*", F.when(m > 0, places).otherwise(F.array().cast("array<int>")).alias("_places"))
-    k = F.size("_places")
-    gaps = F.zip_with(F.slice("_places", F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice("_places", F.lit(2), F.greatest(k - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    at = at.select("*", F.when(some, ranked).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias(pairs))
+    m = F.size(pairs)
+    less = F.greatest(m - 1, F.lit(0))
+    same = F.zip_with(F.slice(pairs, F.lit(1), less), F.slice(pairs, F.lit(2), less), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    found = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+    at = at.select("*", F.when(m > 0, found).otherwise(F.array().cast("array<int>")).alias(places))
+    k = F.size(places)
+    less = F.greatest(k - 1, F.lit(0))
+    gaps = F.zip_with(F.slice(places, F.lit(1), less), F.slice(places, F.lit(2), less), lambda a, b: F.least(b - a, F.lit(3)))
     cover = F.when(k > 0, F.aggregate(gaps, F.lit(3).cast("bigint"), lambda total, g: total + g)).otherwise(F.lit(0)).cast("bigint")
-    size = F.length("_text")
-    solid = F.translate("_text", _SPACES, "")
+    size = F.length(body)
+    solid = F.translate(body, _SPACES, "")
     return at.select(
         *others,
-        F.size("_words").cast("bigint").alias("n_words"),
+        F.size(words).cast("bigint").alias("n_words"),
         F.length(solid).cast("bigint").alias("word_chars"),
-        (size - F.length(F.translate("_text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        (size - F.length(F.translate(body, _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.size(lines).cast("bigint").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         # Under this condition, always true but not deterministic, a filter on the result stays above this projection;
         # copied into the steps below, each would be worked out again in the next.
         F.when(F.spark_partition_id() >= 0, cover).alias("n_repeat_words"),

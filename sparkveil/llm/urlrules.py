@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.llm._common import spare_prefix
+
 #: Rules up to this many are broadcast; more go through a shuffled join on the hash prefix.
 BROADCAST_RULES = 100_000
 
@@ -70,6 +72,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, *, url:
     known = F.broadcast(known) if count <= BROADCAST_RULES else known
     fits = expressions.join(known, "short").where("own = digest")
     best = fits.groupBy("host", "head").agg(F.max(F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "action", "rule")).alias("best"))
-    best = best.select(F.col("host").alias("key_host"), F.col("head").alias("key_head"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
-    joined = base.join(best, (F.col("host") == F.col("key_host")) & (F.substring("path", 1, max(lengths)) == F.col("key_head")), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in others), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    own = spare_prefix(pages.columns)
+    best = best.select(F.col("host").alias(f"{own}host"), F.col("head").alias(f"{own}head"), F.col("best.rule").alias("rule"), F.col("best.action").alias(f"{own}action"))
+    joined = base.join(best, (F.col("host") == F.col(f"{own}host")) & (F.substring("path", 1, max(lengths)) == F.col(f"{own}head")), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in others), "host", "path", "rule", F.coalesce(f"{own}action", F.lit(default)).alias("verdict"))

@@ -46,3 +46,9 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id bigint, url string")
     plan = urlrules.verdicts(df, URL_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_columns_with_names_of_its_own(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x", 7, 8)], "page_id bigint, url string, action int, _vhost int")
+    row = urlrules.verdicts(df, URL_RULES).first()
+    assert (row["rule"], row["verdict"], row["action"], row["_vhost"]) == ("org/", "allow", 7, 8)
