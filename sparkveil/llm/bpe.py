@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 from sparkveil.llm._common import map_arrow, slices
 from sparkveil.llm._words import mix, span_hashes
 
-#: Pre-tokens outside the vocabulary whose merges a worker remembers; older ones are merged again.
-CACHE_TOKENS = 400_000
+#: Pre-tokens outside the vocabulary whose merges a worker remembers in each of two generations: when the younger
+#: one is full it becomes the older one, and what is asked for again moves to the younger. Others are merged again.
+CACHE_TOKENS = 220_000
+#: Rows that are decoded in one step.
+DECODE_ROWS = 256
 
 
 class PerfectHash:
@@ -81,8 +84,9 @@ class PerfectHash:
         return np.array([s if own[s] == k else -1 for s, k in zip(found.tolist(), keys)])
 
 
-def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge the linked bytes of piece, always the pair of lowest rank, leftmost first."""
+def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """Merge the linked bytes of piece, always the pair of lowest rank, leftmost first. A tuple of integers is kept
+    without cost to the garbage collector, which lists by the hundred thousand are not."""
     n = len(piece)
     ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = []
@@ -114,7 +118,7 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     while i < n:
         out.append(ranks[piece[i : ends[i]]])
         i = after[i]
-    return out
+    return tuple(out)
 
 
 class Codec:
@@ -129,24 +133,28 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.merged: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each pre-token."""
-        out: list[list[int]] = []
-        merged, ranks = self.merged, self.ranks
+        out: list[tuple[int, ...]] = []
+        young, old, ranks = self.young, self.old, self.ranks
         slots = self.hash.slots(pieces)
         for piece, slot, rank in zip(pieces, slots.tolist(), self.slot_rank[np.maximum(slots, 0)].tolist() if self.hash.n else slots.tolist()):
             if slot >= 0:
-                out.append([rank])
+                out.append((rank,))
                 continue
-            ids = merged.get(piece)
+            ids = young.get(piece)
             if ids is None:
-                ids = heap_merge(piece, ranks)
-                if len(merged) >= CACHE_TOKENS:
-                    merged.clear()
+                ids = old.get(piece)
+                if ids is None:
+                    ids = heap_merge(piece, ranks)
                 if len(piece) <= 64:
-                    merged[piece] = ids
+                    if len(young) >= CACHE_TOKENS:
+                        self.old, self.young = young, {}
+                        young, old = self.young, self.old
+                    young[piece] = ids
             out.append(ids)
         return out
 
@@ -219,8 +227,10 @@ def decode(coded: DataFrame, rank_file: bytes, pattern: str, *, ids: str = "toke
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             packed = pa.types.is_binary(column.type)
-            made = [own.decode(np.frombuffer(v, "<u4") if packed else np.array(v, np.int64)) if v else b"" for v in (x.as_py() for x in column)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(made, pa.binary())], names=[*others, out])
+            for a in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(a, DECODE_ROWS)
+                made = [own.decode(np.frombuffer(v, "<u4") if packed else np.array(v, np.int64)) if v else b"" for v in (x.as_py() for x in column.slice(a, DECODE_ROWS))]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(made, pa.binary())], names=[*others, out])
 
     kinds = dict(coded.dtypes)
     return map_arrow(coded.select(*(f"`{c}`" for c in others)), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), f"`{out}` binary"]))
