@@ -18,9 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
-    return rules.apply_policy(rules.ledger(docs.select(*COLUMNS))).where("kept").select(*COLUMNS)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, policy: rules.Policy = rules.CURRENT) -> DataFrame:
+    """Documents that a policy keeps, the current one unless another is given."""
+    return rules.apply_policy(rules.ledger(docs.select(*COLUMNS)), policy).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

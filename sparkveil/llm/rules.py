@@ -44,7 +44,9 @@ class Policy:
 
 
 #: Version 1 is the base test alone. Version 2 adds rules that ordinary prose of any language is far from failing.
-POLICIES = {1: Policy(1, ("too_few_words", "repeated_windows")), 2: Policy(2, ("too_few_words", "repeated_windows", "long_words", "short_words"))}
+#: Version 3 rejects by every rule of the ledger; the rules it adds spare all labelled rows of good quality of sf0.1.
+#: CURRENT stays at version 2, which the SQL of op8 and the test of the pipeline's stages give.
+POLICIES = {1: Policy(1, ("too_few_words", "repeated_windows")), 2: Policy(2, ("too_few_words", "repeated_windows", "long_words", "short_words")), 3: Policy(3, tuple(RULES))}
 BASE = POLICIES[1]
 CURRENT = POLICIES[2]
 

@@ -64,3 +64,15 @@ def test_columns_with_names_of_its_own(spark):
     df = spark.range(1).select(F.lit("a b").alias("text"), F.lit(1).alias("_vtext"), F.lit(2).alias("_v_words"), F.lit(3).alias("n_words"), F.lit(4).alias("kept"))
     row = rules.apply_policy(rules.ledger(df)).first()
     assert (row["n_words"], row["kept"], row["_vtext"], row["_v_words"]) == (2, False, 1, 2)
+
+
+def test_version_three_rejects_what_only_its_own_rules_catch(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    symbols = " ".join(w + "#" * (i % 3) for i, w in enumerate(words))
+    lines = "\n".join(["over and done"] * 5 + [" ".join(words)])
+    digits = " ".join(f"{i}{'7' * 9}" for i in range(60))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, symbols), (3, lines), (4, digits)], "doc_id bigint, text string")
+    entries = rules.ledger(df)
+    assert {r["doc_id"] for r in rules.apply_policy(entries, rules.POLICIES[2]).where("kept").collect()} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in rules.apply_policy(entries, rules.POLICIES[3]).where("kept").collect()} == {1}
+    assert [r["failed"] for r in entries.orderBy("doc_id").collect()] == [0, 4, 8, 64]
