@@ -1,8 +1,9 @@
 """Personal data behind disguises, with offsets into the source text.
 
-Two passes over each text. The first applies the plain patterns to the source. The second runs transducers that
-fold homoglyphs, spelled digits and at/dot disguises, each edit remembering the source range it came from; the
-same detectors run on the folded text and what they find is mapped back to source characters.
+Passes over each text. The first applies the plain patterns to the source. The second runs transducers that fold
+homoglyphs, spelled digits and at/dot/plus disguises, each edit remembering the source range it came from; the same
+detectors run on the folded text and what they find is mapped back to source characters. A third does so with every
+single digit name folded, as a name beside a number may also be a word that would spoil it.
 Spans are (kind, start, end) in code points, end exclusive.
 """
 
@@ -86,35 +87,116 @@ _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 
 # The digits' names.
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SURE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _NAME = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-#: Three names or more in a row are digits; fewer are words.
+#: Three names or more in a row are digits; fewer may be words.
 _SPELLED = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}(?:[ ,.-]{{1,2}}{_NAME}){{2,}}(?![A-Za-z])")
 _ONE_NAME = re.compile(_NAME, re.I)
+_NAME_WORD = re.compile(rf"(?i)(?<![A-Za-z]){_NAME}(?![A-Za-z])")
+#: What may lie between a name and the digit or name beside it; a full stop stays, as addresses have them.
+_GAP = re.compile(r"[ ,-]{1,2}")
+_UNIT = rf"(?:[0-9]|{_NAME}(?![A-Za-z]))"
+_PLUS = re.compile(rf"(?i)(?:\(\s?plus\s?\)|\[\s?plus\s?\]|(?<![A-Za-z])plus)[ -]{{0,2}}(?={_UNIT})")
+#: A bare "dot" between numbers.
+_NUMBER_DOT = re.compile(rf"(?i)(?:(?<=[0-9])|(?<=oh)|(?<=one|two|six)|(?<=zero|four|five|nine)|(?<=three|seven|eight))\s{{1,3}}dot\s{{1,3}}(?={_UNIT})")
 _AT = re.compile(r"(?i)\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<\s*at\s*>|\(@\)|\[@\])\s*")
 _DOT = re.compile(r"(?i)\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<\s*dot\s*>|\(\.\)|\[\.\])\s*")
 # Endings of domains that bare words may have.
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|uk|us|de|fr|es|it|nl|eu|ch|at|be|br|pt|pl|se|no|fi|dk|ie|ca|au|nz|jp|cn|in|ru|mx|ar|cl"
-#: Bare words count only as a whole: a name, "at", a name, and "dot" before each further part up to an ending.
-_SAID = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*+)( at )([A-Za-z0-9-]+)((?: dot [A-Za-z0-9-]+)*? dot (?:" + _ENDINGS + r"))(?![A-Za-z0-9-])(?! dot )")
-_BARE_DOT = re.compile(r"(?i) dot ")
-
-
-def _edits(text: str) -> list[tuple[int, int, str]]:
+_BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-])")
+_SEPARATOR = re.compile(r"(?i)\.|\s{0,3}(?:\(\s?dot\s?\)|\[\s?dot\s?\]|\{\s?dot\s?\}|<\s?dot\s?>|\(\.\)|\[\.\])\s{0,3}|\s{1,3}dot\s{1,3}")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_BEFORE = re.compile(r"(?i)(?:\s{1,3}(dot|plus)\s{1,3}|\s{0,3}[(\[]\s?(plus)\s?[)\]]\s{0,3})\Z")
+# Words that are no part of a domain said aloud, unless they are one of the endings.
+_FUNCTION = frozenset("the a an on in of to is it this that these those and or but for with from by as at be was were are we you he she they i my your his her its their our there here which who what when where if not no so up out over under into then than all any each".split())
+_KNOWN = frozenset(_ENDINGS.split("|"))
+
+
+def _domain(text: str, start: int, bare_at: bool) -> tuple[list[tuple[int, int]], str]:
+    """The separators of the longest domain at `start` that may be one, and what shows it: "plain" if all of them are
+    full stops, else "said". A bare "dot" wants an ending after it; after a bare "at" also a name before it."""
+    at, before, parts, kept = start, "", [], 0
+    while label := _LABEL.match(text, at):
+        if parts:
+            word, sep = label[0].lower(), text[slice(*parts[-1])]
+            bare = sep.strip().lower() == "dot"
+            if not bare or word in _KNOWN or (word.isalpha() and len(word) > 1 and word not in _FUNCTION and not (bare_at and before in _FUNCTION)):
+                kept = len(parts)
+        before = label[0].lower()
+        sep = _SEPARATOR.match(text, label.end())
+        if not sep:
+            break
+        parts.append((sep.start(), sep.end()))
+        at = sep.end()
+    parts = parts[:kept]
+    return parts, "said" if any(text[a:b] != "." for a, b in parts) else "plain"
+
+
+def _said(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of addresses whose at, dots or plus are words. Each is judged by itself: beside an "@" of any form bare
+    dots are folded where they lead to an ending; a bare "at" wants a dot that is disguised, or a local part that
+    no word looks like."""
+    signs = [(m.start(), m.end(), True) for m in _BARE_AT.finditer(text)]
+    signs += [(m.start(), m.end(), False) for m in re.finditer("@", text)] + [(m.start(), m.end(), False) for m in _AT.finditer(text)]
+    for a, b, bare in sorted(signs):
+        dots, kind = _domain(text, b, bare)
+        if not dots:
+            continue
+        local, first, low = [], a, a
+        while True:
+            while low > 0 and text[low - 1] in _LOCAL_CHARS:
+                low -= 1
+            if low == first:
+                break
+            sign = _BEFORE.search(text, max(0, low - 16), low)
+            if not sign or sign.start() == 0 or text[sign.start() - 1] not in _LOCAL_CHARS:
+                break
+            local.append((sign.start(), low, "." if (sign[1] or "").lower() == "dot" else "+"))
+            first = low = sign.start()
+        if low == a:
+            continue
+        if bare:
+            if kind == "plain" and not local and not re.search(r"[0-9._%+]", text[low:a]):
+                continue
+            yield a, b, "@"
+        yield from local
+        yield from ((x, y, ".") for x, y in dots if text[x:y] != ".")
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of all digit names, with the gaps to digits and names beside them."""
+    last = -1
+    for m in _NAME_WORD.finditer(text):
+        start, end = m.span()
+        for width in (2, 1):
+            at = start - width
+            if at > 0 and _GAP.fullmatch(text, at, start) and (at == last or text[at - 1] in "0123456789"):
+                start = at
+                break
+        gap = _GAP.match(text, end)
+        if gap and gap.end() < len(text) and text[gap.end()] in "0123456789":
+            end = gap.end()
+        yield start, end, _NAMES[m[0].lower()]
+        last = m.end()
+
+
+def _edits(text: str, every_name: bool) -> list[tuple[int, int, str]]:
     """Ranges of text that a transducer rewrites, and what they become; in order and apart."""
     low = text.lower()
     found = [] if text.isascii() else [(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)]
-    if sum(name in low for name in _SURE) >= 2:
+    if every_name:
+        found += _names(text)
+    else:
         for m in _SPELLED.finditer(text):
             found.append((m.start(), m.end(), "".join(_NAMES[n.lower()] for n in _ONE_NAME.findall(m[0]))))
     if "at" in low or "@" in low:
         found += [(m.start(), m.end(), "@") for m in _AT.finditer(text)] if any(x in low for x in ("(", "[", "{", "<")) else []
     if "dot" in low or "(.)" in low or "[.]" in low:
         found += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
-        if " at " in low and " dot " in low:
-            for m in _SAID.finditer(text):
-                found.append((m.start(2), m.end(2), "@"))
-                found += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 4) for d in _BARE_DOT.finditer(m[g])]
+        found += [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)]
+    if "plus" in low:
+        found += [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
+    if "." in low or "dot" in low:
+        found += _said(text)
     out: list[tuple[int, int, str]] = []
     for edit in sorted(found):
         if not out or edit[0] >= out[-1][1]:
@@ -125,9 +207,9 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
 class Folded:
     """A folded text and the way back from its characters to those of the source."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, every_name: bool = False):
         plain = source if source.isascii() or not _ODD.search(source) else source.translate(_TO_ASCII)
-        edits = _edits(plain)
+        edits = _edits(plain, every_name)
         self.changed = plain is not source or bool(edits)
         self.at, self.source, self.is_edit, pieces = [], [], [], []
         here = done = 0
@@ -141,7 +223,7 @@ class Folded:
                     here += len(piece)
             done = b
         self.text = "".join(pieces)
-        self.odd = plain is not source
+        self.odd, self.plain = plain is not source, plain
         self.plain_source = source
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
@@ -156,15 +238,23 @@ class Folded:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base, added): spans of the plain patterns, and spans that only the folded text shows. An added span is
     never one of the base spans and never lies within a base span of its kind."""
-    base, folded = detect(text), Folded(text)
-    if not folded.changed:
-        return base, []
-    added = []
-    for kind, start, end in detect(folded.text):
-        a, b, touched = folded.back(start, end)
-        if touched and not any(k == kind and x <= a and b <= y for k, x, y in base):
-            added.append((kind, a, b))
-    return base, sorted(set(added), key=lambda s: (s[1], _RANK[s[0]]))
+    base, folded = detect(text), [Folded(text)]
+    if _NAME_WORD.search(folded[0].plain):
+        folded.append(Folded(text, every_name=True))
+    added = set()
+    for version in folded:
+        if not version.changed:
+            continue
+        for kind, start, end in detect(version.text):
+            a, b, touched = version.back(start, end)
+            if touched and not any(k == kind and x <= a and b <= y for k, x, y in base):
+                added.add((kind, a, b))
+    inner, reach = set(), {}
+    for k, a, b in sorted(added, key=lambda s: (s[1], -s[2])) if len(folded) > 1 else ():
+        if b <= reach.get(k, -1):
+            inner.add((k, a, b))
+        reach[k] = max(b, reach.get(k, -1))
+    return base, sorted(added - inner, key=lambda s: (s[1], _RANK[s[0]]))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

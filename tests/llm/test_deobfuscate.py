@@ -70,3 +70,38 @@ def test_frame(spark):
     assert got[2]["text"] is None and got[2]["spans"] == [] and got[None]["text"] == ""
     assert got[3]["text"] == "[EMAIL]" and not got[3]["spans"][0]["base"]
     assert d.deobfuscate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("ask jane (at) example dot com today", "email", "jane (at) example dot com"),
+        ("ask jane@example dot com today", "email", "jane@example dot com"),
+        ("ask jane at example dot xyz today", "email", "jane at example dot xyz"),
+        ("ask jane at example [dot] museum today", "email", "jane at example [dot] museum"),
+        ("ask jane.roe at example.com today", "email", "jane.roe at example.com"),
+        ("ask jane plus news at example dot com today", "email", "jane plus news at example dot com"),
+        ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("host one nine two [dot] one six eight [dot] zero [dot] one is up", "ip", "one nine two [dot] one six eight [dot] zero [dot] one"),
+        ("host one.two.three.four is up", "ip", "one.two.three.four"),
+        ("call +1 415 five 55 12 three 4 ok", "phone", "+1 415 five 55 12 three 4"),
+        ("call plus one four one five 555 1234 ok", "phone", "plus one four one five 555 1234"),
+        ("call +1 five five five five five five five five five five ok", "phone", "+1 five five five five five five five five five five"),
+        ("card 4111 1111 1111 １１１１ two days", "card", "4111 1111 1111 １１１１"),
+        ("card four 111 1111 1111 1 one one 1 ok", "card", "four 111 1111 1111 1 one one 1"),
+        ("host ｏｎｅ.2.3.4 is up", "ip", "ｏｎｅ.2.3.4"),
+    ],
+)
+def test_disguises_fold_one_by_one(text, kind, source):
+    base, added = d.find(text)
+    assert (kind, source) in [(k, text[a:b]) for k, a, b in added]
+
+
+@pytest.mark.parametrize("text", ["see us at example.com", "look at the dot on the map", "we met at one dot of ink", "two plus two", "jane@example", "I was at home. Come in"])
+def test_words_that_are_no_disguise(text):
+    assert d.find(text) == ([], [])
+
+
+def test_disguises_are_linear():
+    for text in ("a at b dot " * 40_000, "one " * 100_000, "dot " * 100_000, " " * 400 + "a.b " * 50_000, "plus " * 80_000, "a dot " * 60_000 + "@ b dot c"):
+        d.find(text)
