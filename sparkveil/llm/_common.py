@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -34,34 +32,58 @@ def expose(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset a local session gets one of its
+    own; a cluster has none that all its machines share, which is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = "file://" + os.path.join(tempfile.gettempdir(), "sparkveil-shared")
-        spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if path.startswith("file:"):
-        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone when the process ends; the folder's owner clears what is left
-        return
+def _place(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later readers do not recompute it, and its
-    lineage ends in files that outlive any executor. The files go when the process ends."""
+    lineage ends in files that outlive any executor. `released` removes the files; what is not released goes with
+    the driver's JVM, whatever file system it is on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkveil-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _place(spark, path)
+    system.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for df in tables:
+        system, where = _place(df.sparkSession, df.stored_at)
+        system.delete(where, True)
+
+
+#: Keys with more rows than this are joined by a broadcast of their facts, as long as there are no more of them.
+HEAVY_ROWS, MOST_HEAVY = 1024, 100_000
+
+
+def join_by_count(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which has a row a key and in `count` how many of `total` rows have it.
+
+    Keys of many rows, at most MOST_HEAVY by the bound on their rows, are broadcast, so that no task gets all rows of
+    one; the others are merge-joined, which spills and so holds at any size. Null keys match nothing. `how` is inner
+    or left. facts is read three times.
+    """
+    limit = max(HEAVY_ROWS, total // MOST_HEAVY)
+    heavy, light = facts.where(F.col(count) > limit).drop(count), facts.where(F.col(count) <= limit).drop(count)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light.hint("merge"), on, how)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)
 
 
 def spare_prefix(columns: list[str]) -> str:

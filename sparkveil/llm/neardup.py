@@ -7,12 +7,14 @@
 3. Classes that share a band key meet in cells of bounded size (a large bucket is split into chunks and each pair
    of chunks is a cell). Sketches decide which pairs stay, and a cell gives back a spanning forest of those, so
    its output grows with its rows. The forest's components are candidate clusters.
-4. Clusters meet in cells again, now with their texts: exact intersections of full sets confirm links, and again
-   a spanning forest leaves each cell. Its components, with the classes, are the result.
+4. Each member of a cluster meets the cluster's least member: exact intersections of full sets, told apart by the
+   words' bytes, confirm links. A cluster in which all are confirmed is done, whatever its size. The others meet in
+   cells, each pair of texts once, and a spanning forest of confirmed links leaves each cell. The components of all
+   links, with the classes, are the result.
 
 With BANDS bands of ROWS samples, a pair at the threshold shares no band with a chance of (1 - t**ROWS)**BANDS,
 2.5e-7 at 0.75 and less above. The sketch bound is set so that a pair at the threshold fails it with a chance
-under SKETCH_MISS. Every other step is exact.
+under SKETCH_MISS. Sets count as equal in step 2 by their size and two sums of 64-bit hashes; links are exact.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm._common import map_arrow, slices, stored
-from sparkveil.llm._words import mix, shingle_hashes, word_hashes
+from sparkveil.llm._common import join_by_count, map_arrow, released, slices, stored
+from sparkveil.llm._words import mix, shingle_hashes, shingle_numbers, word_hashes, word_numbers
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -233,9 +235,24 @@ def exact_links(keys: np.ndarray, bounds: np.ndarray, allowed: np.ndarray | None
     return need & (100 * shared >= PERCENT * union)
 
 
+def exact_sets(texts: list[str | None], k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each text as numbers, equal for equal words in all texts given, and their bounds."""
+    return shingle_numbers(*word_numbers([(t or "").encode() for t in texts]), k)
+
+
+def _hub_cell(cell: pa.Table) -> pa.Table:
+    """The links of a cell's texts to those of its hub."""
+    nodes, hub = cell.column("node").to_numpy(), cell.column("component")[0].as_py()
+    keys, bounds = exact_sets(cell.column("text").to_pylist())
+    first = nodes == hub
+    links = exact_links(keys, bounds, first[:, None] != first)
+    linked = nodes[links[first].any(axis=0)]
+    return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array(np.full(len(linked), hub), pa.int64())})
+
+
 def _text_cell(cell: pa.Table) -> pa.Table:
     nodes, own = cell.column("node").to_numpy(), cell.column("own").to_numpy()
-    keys, bounds = sets_of([(t or "").encode() for t in cell.column("text").to_pylist()])
+    keys, bounds = exact_sets(cell.column("text").to_pylist())
     across = cell.column("cell_i")[0].as_py() != cell.column("cell_j")[0].as_py()
     return _star(nodes, forest(exact_links(keys, bounds, own[:, None] != own if across else None)))
 
@@ -243,18 +260,21 @@ def _text_cell(cell: pa.Table) -> pa.Table:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of the edges (a, b) reaches, itself included.
 
-    Large-star and small-star rounds, each stored: a round's joins are on single nodes, whose skew Spark splits,
-    and the number of rounds is logarithmic in the longest chain. No edges give no rows.
+    Large-star and small-star rounds, each stored until the next one is. A round joins edges to the least neighbour
+    of their ends; ends with many edges are joined by broadcast, so no task gets all edges of a hub. The number of
+    rounds is logarithmic in the longest chain. No edges give no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_by_count(both, least, ["u"], "n", 2 * mark[0]).where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         below = large.groupBy("a").agg(F.min("b").alias("m"))
+        # A node has as many edges here as components met in it so far: no hubs are left on this side.
         small = large.join(below, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(below.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        released(before)
         new = _mark(now)
         if new == mark:
             break
@@ -279,7 +299,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = stored(signatures(docs, key=key, text=text), "signatures")
     linked = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), "classes")
-    # Joins of what grows with the input are merge joins at every size, so that a small table says how a large one fares.
+    # What is joined here grows with the input and has a row a key on one side at least: merge joins, which spill and
+    # hold no table in memory, where sizes guessed before the run might choose a broadcast or a hash table.
     ones = linked.join(classes.select("set_a", "set_b", F.col("node").alias("doc_id")).hint("merge"), ["set_a", "set_b", "doc_id"], "left_semi")
     ones = stored(ones.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "nodes")
 
@@ -300,13 +321,28 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     clusters = stored(components(small.unionAll(large)), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "component")
+    members = stored(clusters.join(sizes, "component"), "members")
+    released(clusters, buckets, ones)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("node"), F.col(f"`{text}`").alias("text"))
-    with_text = in_cells(texts.join(members.hint("merge"), "node"), "component", F.col("n"), "node", TEXT_CHUNK)
+
+    # The hub stands in each of its cells, beside the members that a hash deals there.
+    last = F.ceil(F.col("n") / TEXT_CHUNK).cast("int") - 1
+    cells_of = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(11)), last + 1).cast("int")))
+    hubs = texts.join(members.hint("merge"), "node").withColumn("cell", F.explode(cells_of))
+    star = stored(by_group(hubs.select("component", "cell", "node", "text"), ["component", "cell"], _hub_cell, "a bigint, b bigint").distinct(), "star")
+    whole = star.groupBy("b").agg(F.count("*").alias("linked"))
+    open_ = members.where("node = component").join(whole, F.col("component") == F.col("b"), "left").where("coalesce(linked, 0) < n - 1").select("component")
+    left_over = members.join(open_.hint("merge"), "component", "left_semi")
+    with_text = in_cells(texts.join(left_over.hint("merge"), "node"), "component", F.col("n"), "node", TEXT_CHUNK)
     links = by_group(with_text.select("component", "cell_i", "cell_j", "own", "node", "text"), ["component", "cell_i", "cell_j"], _text_cell, "a bigint, b bigint")
-    joined = components(links)
 
-    known = classes.join(joined, "node", "left").where("members > 1 OR component IS NOT NULL")
+    # An id that stands for several sets joins the classes of all of them.
+    several = linked.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo < hi").select("doc_id")
+    shared = linked.select("doc_id", "set_a", "set_b", "n_shingles").join(several.hint("merge"), "doc_id", "left_semi").join(classes.hint("merge"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    joined = stored(components(star.unionAll(links).unionAll(shared)), "joined")
+    released(members, star)
+
+    known = classes.join(joined.hint("merge"), "node", "left").where("members > 1 OR component IS NOT NULL")
     known = known.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(known.hint("merge"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from sparkveil.llm import neardup
+from sparkveil.llm import _words, neardup
 
 
 def shingles(text):
@@ -92,3 +92,51 @@ def test_dense_and_sparse_intersections_agree():
         for j, b in enumerate(sets):
             both = len(np.intersect1d(a, b))
             assert got[i, j] == (i != j and 100 * both >= 75 * (len(a) + len(b) - both))
+
+
+def morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_of_one_structure_are_not_taken_for_equal(spark):
+    rows = [(i, " ".join([morse(n, f)] * 3 + ["x", "y"])) for i, (n, f) in enumerate((n, f) for n in (8, 64, 1024, 2048, 4096) for f in (0, 1))]
+    assert result(spark, rows) == sorted(plain(rows), key=repr)
+
+
+def test_numbers_of_words_and_shingles_are_exact(monkeypatch):
+    rnd = random.Random(3)
+    for hashed in (True, False):
+        if not hashed:  # all words share a hash
+            monkeypatch.setattr(_words, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        for _ in range(100):
+            texts = [" ".join(rnd.choice(["a", "b", "abcdefghij", "abcdefghik", "x" * rnd.choice([8, 9, 70])]) for _ in range(rnd.randrange(12))) for _ in range(rnd.randrange(1, 7))]
+            keys, bounds = neardup.exact_sets(texts)
+            sets = [shingles(t) for t in texts]
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    assert len(np.intersect1d(keys[bounds[i] : bounds[i + 1]], keys[bounds[j] : bounds[j + 1]])) == len(a & b)
+
+
+def test_an_id_of_several_texts_joins_their_groups(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    got = {(i, c, k) for i, _, c, k in result(spark, [(5, one), (9, one), (9, two), (12, two)])}
+    assert got == {(5, 5, True), (9, 5, False), (12, 5, False)}
+
+
+def test_a_large_group_of_near_copies_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TEXT_CHUNK", 100)
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        for at in rnd.sample(range(200), 3):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    # Beside them a chain, in which the ends are unlike: each text moves on by ten words.
+    line = [f"c{i}" for i in range(1000)]
+    rows += [(2000 + i, " ".join(line[10 * i : 10 * i + 300])) for i in range(60)]
+    # Clashing column names and one very long text.
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows] + [(9000, "long " * 400_000, 0, 0, 0)], "doc_id bigint, text string, node int, component int, band int")
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert {out[i] for i in range(1500)} == {0} and {out[2000 + i] for i in range(60)} == {2000} and out[9000] == 9000
