@@ -58,3 +58,35 @@ def test_empty(spark):
     assert mixing.copies(df).count() == 0 and mixing.mix(df).count() == 0
     only = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id bigint, text string, source string")
     assert sorted(r["size"] for r in mixing.copies(only).collect()) == [0, 0]
+
+
+@pytest.mark.parametrize("n", [50, 1500])
+def test_alike_rows_are_settled_one_by_one(spark, n):
+    rows = [(None, "one two three four", s, 7, "c") for s in ("s0", "s1", "s2") for _ in range(n)] + [(3, "a b", "s0", 1, "d"), (3, "a c", "s0", 2, "e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, name string")
+    out = mixing.copies(df).collect()
+    assert sum(r["rows"] for r in out) == len(rows)
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] * r["rows"] for r in own) - own[0]["target"]) <= 4
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    words = {}
+    for r in mixed.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+        assert r["name"] in "cde"
+    for s in ("s0", "s1", "s2"):
+        assert abs(words[s] - next(r["target"] for r in out if r["source"] == s)) <= 4
+
+
+def test_many_sources_are_shared_without_the_driver(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 700:04d}") for i in range(3000)]
+    out = mixing.copies(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    sizes = {}
+    for _, text, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(text.split())
+    names = sorted(sizes)
+    want = dict(zip(names, mixing.targets([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(sizes.values()))))
+    assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+    for r in out:
+        assert r["target"] == pytest.approx(want[r["source"]])
