@@ -62,7 +62,9 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """16-bit samples at another rate by linear interpolation between neighbours, in integers rounded down."""
+    """16-bit samples at another rate by linear interpolation between neighbours, in integers rounded down. There is no
+    low-pass filter: going up leaves images of the spectrum above the old band, going down lets what is beyond the new
+    one fold back."""
     if rate == target or not len(pcm):
         return pcm
     if target % rate == 0:
@@ -93,7 +95,8 @@ def wav(kind: int, rate: int, data: bytes, *, align: int = 1, per_block: int = 1
 
 
 def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and data of a WAV file; ValueError if it is not one."""
+    """Format tag, rate, block size and data of a WAV file; ValueError if it is not one, names no rate, or has fewer
+    bytes of data than it says."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, kind, rate, align = 12, 0, 0, 1
@@ -102,6 +105,10 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
         if name == b"fmt ":
             kind, _, rate, _, align = struct.unpack_from("<HHIIH", media, at + 8)
         elif name == b"data":
+            if not rate:
+                raise ValueError("no format, or a rate of 0")
+            if at + 8 + size > len(media):
+                raise ValueError("data cut short")
             return kind, rate, align, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no data chunk")
@@ -195,7 +202,7 @@ def encode_media(df: DataFrame, *, text: str = "text", keep: list[str] | None =
 
 def decode_media(df: DataFrame, *, media: str = "media", target_rate: int = TARGET_RATE) -> DataFrame:
     """Read WAV files back. Adds `payload` (the code words), `pcm` (a PCM WAV file at target_rate) and `feature`;
-    all three are null where `media` is null or not a telephony WAV file."""
+    all three are null where `media` is null, not a telephony WAV file, without a rate, or cut short."""
 
     def make(values: list[bytes | None]) -> tuple[list[bytes | None], list[bytes | None], list[str | None]]:
         codes, files, said = [], [], []

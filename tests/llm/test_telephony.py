@@ -76,3 +76,12 @@ def test_nulls_and_clashing_names(spark):
     again = t.decode_media(t.encode_media(df))
     assert again.columns.count("media") == 1 and again.where(F.col("payload").isNull()).count() == 0
     assert t.decode_media(t.encode_media(df.limit(0))).count() == 0
+
+
+def test_malformed_files_give_nulls(spark):
+    good = t.wav(t.MULAW, 8000, bytes(range(200)))
+    rate = good.index(b"fmt ") + 12
+    files = [good, good[:rate] + bytes(4) + good[rate + 4 :], good[:-20], good[:30], good.replace(b"fmt ", b"fmx "), b"", None, b"RIFF" + bytes(100)]
+    out = t.decode_media(spark.createDataFrame(list(enumerate(files)), "i int, media binary")).orderBy("i").collect()
+    assert bytes(out[0]["payload"]) == bytes(range(200))
+    assert all(r[c] is None for r in out[1:] for c in ("payload", "pcm", "feature"))
