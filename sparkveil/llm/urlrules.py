@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.llm._common import spare_prefix
+from sparkveil.llm._common import join_by_count, spare_prefix
 
 #: Rules up to this many are broadcast; more go through a shuffled join on the hash prefix.
 BROADCAST_RULES = 100_000
@@ -57,7 +57,8 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, *, url:
     if not count:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     # A path longer than the longest rule's never matters beyond it: what is expanded is bounded by the rules.
-    seen = base.select("host", F.substring("path", 1, max(lengths)).alias("head")).where("host <> ''").distinct()
+    heads = base.where("host <> ''").select("host", F.substring("path", 1, max(lengths)).alias("head"))
+    seen = heads.groupBy("host", "head").agg(F.count("*").alias("n"))
     parts = F.split("host", "\\.")
     depth = F.least(F.size(parts), F.lit(labels))
     suffixes = F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
@@ -66,13 +67,19 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, *, url:
         seen.withColumn("suffix", F.explode(suffixes))
         .withColumn("prefix", F.explode(prefixes))
         .withColumn("own", _digest(F.col("suffix"), F.col("prefix")))
-        .select("host", "head", "own", F.substring("own", 1, 8).alias("short"))
+        .select("host", "head", "n", "own", F.substring("own", 1, 8).alias("short"))
     )
     known = compiled.select("rule", "action", "digest", "rule_host", F.substring("digest", 1, 8).alias("short"))
     known = F.broadcast(known) if count <= BROADCAST_RULES else known
     fits = expressions.join(known, "short").where("own = digest")
-    best = fits.groupBy("host", "head").agg(F.max(F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "action", "rule")).alias("best"))
+    best = fits.groupBy("host", "head", "n").agg(F.max(F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "action", "rule")).alias("best"))
     own = spare_prefix(pages.columns)
-    best = best.select(F.col("host").alias(f"{own}host"), F.col("head").alias(f"{own}head"), F.col("best.rule").alias("rule"), F.col("best.action").alias(f"{own}action"))
-    joined = base.join(best, (F.col("host") == F.col(f"{own}host")) & (F.substring("path", 1, max(lengths)) == F.col(f"{own}head")), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in others), "host", "path", "rule", F.coalesce(f"{own}action", F.lit(default)).alias("verdict"))
+    keys = [f"{own}host", f"{own}head"]
+    best = best.select(F.col("host").alias(keys[0]), F.col("head").alias(keys[1]), F.col("n").alias(f"{own}n"), F.col("best.rule").alias("rule"), F.col("best.action").alias(f"{own}action"))
+    keyed = base.withColumns({keys[0]: F.col("host"), keys[1]: F.substring("path", 1, max(lengths))})
+    # URLs without a host fit no rule and go around the join; popular heads are joined where their rows are.
+    total = best.agg(F.sum(f"{own}n")).first()[0] or 0
+    joined = join_by_count(keyed.where("host <> ''"), best, keys, f"{own}n", total, "left")
+    hostless = base.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), f"{own}action": F.lit(None).cast("string")})
+    shown = [*(F.col(f"`{c}`") for c in others), F.col("host"), F.col("path"), F.col("rule"), F.coalesce(f"{own}action", F.lit(default)).alias("verdict")]
+    return joined.select(*shown).unionByName(hostless.select(*shown))
