@@ -40,21 +40,35 @@ def file_count(records: DataFrame) -> int:
     return max(1, ceil(records.count() / FILE_RECORDS))
 
 
-def manifest(records: DataFrame, files: int, *, key: str = "page_id", record: str = "record") -> DataFrame:
-    """(key, file_id, seq, offset, length, digest): each record in its file's order, which is by key, nulls
-    first, then digest. A record's file follows from its key alone, so replicas deal alike; equal records are
-    entries of their own. Only hashes and lengths are shuffled, never records."""
+def manifest(records: DataFrame, files: int, spread: DataFrame, *, key: str = "page_id", record: str = "record") -> DataFrame:
+    """(key, file_id, seq, offset, length, digest): each record in its file's order, which is by key, nulls first, then
+    digest. A record's file follows from its key alone, so replicas deal alike; but records of the keys in `spread`
+    (name, the key as text), which repeat so often that they would overfill a file, are dealt by key and digest. Equal
+    records are entries of their own. Only hashes and lengths are shuffled, never records."""
     at = records.select(
         F.col(f"`{key}`"),
-        F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(files)).cast("bigint").alias("file_id"),
+        _name(key).alias("name"),
         F.octet_length(F.col(f"`{record}`")).cast("bigint").alias("length"),
         F.sha2(F.col(f"`{record}`").cast("binary"), 256).alias("digest"),
     )
+    at = at.join(F.broadcast(spread.withColumn("often", F.lit(True))), "name", "left")
+    dealt = F.md5(F.when(F.col("often"), F.concat("name", F.coalesce("digest", F.lit("")))).otherwise(F.expr("substring(name, 2)")).cast("binary"))
+    at = at.select(F.col(f"`{key}`"), F.pmod(F.conv(F.substring(dealt, 1, 8), 16, 10).cast("bigint"), F.lit(files)).cast("bigint").alias("file_id"), "length", "digest")
     order = Window.partitionBy("file_id").orderBy(F.col(f"`{key}`").asc_nulls_first(), "digest")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return at.select(F.col(f"`{key}`"), "file_id", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), before.cast("bigint").alias("offset"), "length", "digest")
 
 
+def _name(key: str) -> Column:
+    """A key as text, null apart from all others."""
+    return F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("n"))
+
+
+def often(records: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """(name) of keys that more records share than a file has; one key at most for each file of records."""
+    return records.groupBy(_name(key).alias("name")).count().where(F.col("count") > FILE_RECORDS).select("name")
+
+
 @dataclass
 class Trees:
     """Nodes of all replicas by level, (replica, file_id, place, hash), each level stored: level 0 has the leaves,
@@ -105,32 +119,37 @@ def differing(found_in: Trees) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", record: str = "record") -> DataFrame:
-    """Every entry of either replica with what the audit says of it: (key, file_id, seq, offset, length, digest,
-    replica_digest, status), status being intact, altered (the replica has other bytes at this place), missing
-    (only the primary has the place) or extra (only the replica has it).
+    """Every record of either replica with what the audit says of it: (key, file_id, seq, offset, length, digest,
+    replica_seq, replica_offset, replica_digest, status).
 
-    Both inputs have the key and the record's bytes; further columns are not read. A replica in which records
-    change their length differs from there to its file's end, as byte ranges do.
+    Trees tell which places differ; the entries of those places are then matched within their file, first by key and
+    digest, then by key. Status is intact (the same bytes at the same place), moved (the same bytes at another place,
+    as records before it came, went or changed their length), altered (the key has other bytes), missing (only the
+    primary has it) or extra (only the replica has it, whose place and length are then given). Of a key that repeats
+    more often than a file has records, a record with other bytes is a missing and an extra one.
+
+    Both inputs have the key and the record's bytes; further columns are not read. Null keys are a key; repeated
+    records are matched one for one.
     """
     files = file_count(primary)
-    sides = [manifest(side, files, key=key, record=record).withColumn("replica", F.lit(i)) for i, side in enumerate((primary, replica))]
+    spread = stored(often(primary, key=key), "often")
+    sides = [manifest(side, files, spread, key=key, record=record).withColumn("replica", F.lit(i)) for i, side in enumerate((primary, replica))]
     entries = stored(sides[0].unionByName(sides[1]), "manifest")
     longest = entries.agg(F.max("seq")).first()[0] or 0
+    wrong = stored(differing(trees(entries, files, longest + 1)), "differing").select("file_id", F.col("place").alias("seq"))
     left, right = (entries.where(F.col("replica") == i).drop("replica") for i in (0, 1))
-    wrong = stored(differing(trees(entries, files, longest + 1)), "differing").select("file_id", F.col("place").alias("seq"), F.lit(True).alias("differs"))
-    other = right.join(wrong, ["file_id", "seq"], "left_semi").select("file_id", "seq", F.col(f"`{key}`").alias("other_key"), F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("digest").alias("replica_digest"))
-    both = left.join(wrong, ["file_id", "seq"], "left").withColumn("here", F.lit(True)).join(other, ["file_id", "seq"], "full")
-    status = F.when(F.col("here").isNull(), "extra").when(F.col("differs").isNull(), "intact").when(F.col("replica_digest").isNull(), "missing").otherwise("altered")
-    pick = lambda mine, theirs: F.when(F.col("here"), F.col(mine)).otherwise(F.col(theirs))
-    return both.select(
-        pick(f"`{key}`", "other_key").alias(key),
-        "file_id",
-        "seq",
-        pick("offset", "other_offset").alias("offset"),
-        pick("length", "other_length").alias("length"),
-        "digest",
-        F.when(status == "intact", F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"),
-        status.alias("status"),
-    )
-
-
+    intact = left.join(wrong, ["file_id", "seq"], "left_anti").select(F.col(f"`{key}`"), "file_id", "seq", "offset", "length", "digest", F.col("seq").alias("replica_seq"), F.col("offset").alias("replica_offset"), F.col("digest").alias("replica_digest"), F.lit("intact").alias("status"))
+
+    def ordinal(side: DataFrame, by: list[str], name: str) -> DataFrame:
+        return side.withColumn(name, F.row_number().over(Window.partitionBy("file_id", *by).orderBy("seq")))
+
+    mine, theirs = (ordinal(side.join(wrong, ["file_id", "seq"], "left_semi").withColumn("name", _name(key)), ["name", "digest"], "nth") for side in (left, right))
+    theirs = theirs.select("file_id", "name", "digest", "nth", F.col(f"`{key}`").alias("other_key"), F.col("seq").alias("replica_seq"), F.col("offset").alias("replica_offset"), F.col("length").alias("other_length"))
+    same = stored(mine.join(theirs, ["file_id", "name", "digest", "nth"], "full"), "same")
+    moved = same.where("seq IS NOT NULL AND replica_seq IS NOT NULL").withColumn("replica_digest", F.col("digest")).withColumn("status", F.lit("moved"))
+    one = ordinal(same.where("replica_seq IS NULL").select(F.col(f"`{key}`"), "file_id", "name", "seq", "offset", "length", "digest"), ["name"], "nth")
+    two = same.where("seq IS NULL").select("file_id", "name", "other_key", "other_length", F.col("digest").alias("replica_digest"), "replica_seq", "replica_offset")
+    two = two.withColumn("nth", F.row_number().over(Window.partitionBy("file_id", "name").orderBy("replica_seq")))
+    rest = one.join(two, ["file_id", "name", "nth"], "full").withColumn("status", F.when(F.col("replica_seq").isNull(), "missing").when(F.col("seq").isNull(), "extra").otherwise("altered"))
+    shown = [F.when(F.col("seq").isNull(), F.col("other_key")).otherwise(F.col(f"`{key}`")).alias(key), "file_id", "seq", "offset", F.coalesce("length", "other_length").alias("length"), "digest", "replica_seq", "replica_offset", "replica_digest", "status"]
+    return intact.unionByName(moved.select(*shown)).unionByName(rest.select(*shown))

@@ -71,8 +71,9 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rul
 """
 
 
-#: One replica record in 128 is damaged, by a hash of its page_id.
-DAMAGED = "substring(md5(cast(page_id AS string)), 1, 2) IN ('00', '01')"
+#: What happens to a replica's records, by the first two digits of a hash of their page_id: a flipped letter case, a
+#: lost record, a body cut in half, or a record that comes in beside it.
+FLIPPED, LOST, CUT, DOUBLED = "00", "01", "02", "03"
 
 
 def op4_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,34 +83,44 @@ def op4_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     primary = pages.select("page_id", merkle.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    # The damage is a flipped letter case in the body: the length stays, as with a flipped bit.
-    damaged = F.when(F.expr(DAMAGED), F.concat(F.upper(F.substring("html", 1, 40)), F.expr("substring(html, 41)"))).otherwise(F.col("html"))
-    replica = pages.select("page_id", merkle.record_bytes(F.col("page_id"), F.col("url"), damaged).alias("record"))
+    what = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2), F.lit(""))
+    body = F.when(what == FLIPPED, F.concat(F.upper(F.substring("html", 1, 40)), F.expr("substring(html, 41)"))).when(what == CUT, F.expr("left(html, cast(length(html) / 2 AS int))")).otherwise(F.col("html"))
+    ids = F.when(what == DOUBLED, F.array("page_id", -F.col("page_id"))).otherwise(F.array("page_id"))
+    held = pages.where(what != LOST).select(F.explode(ids).alias("page_id"), "url", body.alias("html"))
+    replica = held.select("page_id", merkle.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     return merkle.audit(primary, replica)
 
 
-OP5_SQL = r"""
-WITH records AS (
-  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
-         || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
-         html, substring(md5(page_id::VARCHAR), 1, 2) IN ('00', '01') AS bad
-  FROM pages
-), hashed AS (
-  SELECT page_id, sha256(head || html || chr(13) || chr(10) || chr(13) || chr(10)) AS digest,
-         sha256(head || CASE WHEN bad THEN upper(substring(html, 1, 40)) || substring(html, 41) ELSE html END || chr(13) || chr(10) || chr(13) || chr(10)) AS replica_digest,
-         strlen(head) + strlen(html) + 4 AS length,
+_RECORD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"
+
+OP5_SQL = rf"""
+WITH marked AS (
+  SELECT page_id, url, html, substring(md5(page_id::VARCHAR), 1, 2) AS what FROM pages
+), damaged AS (
+  SELECT page_id, url, what, CASE what WHEN '00' THEN upper(substring(html, 1, 40)) || substring(html, 41) WHEN '02' THEN substring(html, 1, length(html) // 2) ELSE html END AS html
+  FROM marked WHERE what <> '01'
+), sides AS (
+  SELECT 0 AS side, page_id, {_RECORD} AS record FROM marked
+  UNION ALL SELECT 1, page_id, {_RECORD} FROM damaged
+  UNION ALL SELECT 1, page_id, {_RECORD} FROM (SELECT -page_id AS page_id, url, html FROM damaged WHERE what = '03')
+), entries AS (
+  SELECT side, page_id, sha256(record) AS digest, strlen(record) AS length,
          ('0x' || substring(md5(page_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 256.0))::BIGINT FROM pages) AS file_id
-  FROM records
+  FROM sides
+), placed AS (
+  SELECT *, row_number() OVER files - 1 AS seq, coalesce(sum(length) OVER (files ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM entries WINDOW files AS (PARTITION BY side, file_id ORDER BY page_id, digest)
 )
-SELECT page_id, file_id, row_number() OVER files - 1 AS seq, coalesce(sum(length) OVER (files ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-       length::BIGINT AS length, digest, replica_digest, CASE WHEN digest = replica_digest THEN 'intact' ELSE 'altered' END AS status
-FROM hashed WINDOW files AS (PARTITION BY file_id ORDER BY page_id, digest)
+SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.file_id, b.file_id) AS file_id, a.seq, a.at::BIGINT AS "offset", coalesce(a.length, b.length)::BIGINT AS length, a.digest,
+       b.seq AS replica_seq, b.at::BIGINT AS replica_offset, b.digest AS replica_digest,
+       CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'altered' WHEN a.seq = b.seq AND a.at = b.at THEN 'intact' ELSE 'moved' END AS status
+FROM (SELECT * FROM placed WHERE side = 0) a FULL JOIN (SELECT * FROM placed WHERE side = 1) b ON a.page_id = b.page_id
 """
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.copies(table(spark, sf_dir, "documents"))
-    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    rows = plan.withColumn("some", F.explode(mixing.each(F.col("rows")))).withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("some"))))
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "copies")
 
 
@@ -158,14 +169,25 @@ WITH words AS (
   FROM facts
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 51 = 0 AS kept, failed::BIGINT AS failed, 2 AS policy_version
+       n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed, 3 AS policy_version
 FROM bits
 """
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects, and what only it rejects, from operator 8's ledger."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ABLATIONS_SQL = f"""
+WITH ledger AS ({OP8_SQL}), rules(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << i})" for i, name in enumerate(rules.RULES))})
+SELECT rule, (SELECT count(*) FROM ledger WHERE failed & bit <> 0) AS failing, (SELECT count(*) FROM ledger WHERE failed = bit) AS only_this, (SELECT count(*) FROM ledger WHERE failed <> 0) AS rejected FROM rules
+"""
+
+
 def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0  # a null id counts as no text
     model = toxicity.fit(docs, labels.where(~held_out))
     scored = toxicity.toxicity(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "lexicon_weight")
@@ -178,5 +200,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_telephony_audio, op3_url_rules, op4_hierarchical_pitman_yor, op5_warc_merkle_audit, op6_pivotal_mixing, op7_deobfuscated_pii, op8_quality_rules, op9_toxicity_lexicon, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_warc_merkle_audit": OP5_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_telephony_audio, op3_url_rules, op4_hierarchical_pitman_yor, op5_warc_merkle_audit, op6_pivotal_mixing, op7_deobfuscated_pii, op8_quality_rules, op9_toxicity_lexicon, op10_byte_bpe, rule_ablations)}
+ORACLES: dict[str, str] = {"op3_url_rules": OP3_SQL, "op5_warc_merkle_audit": OP5_SQL, "op8_quality_rules": OP8_SQL, "rule_ablations": ABLATIONS_SQL}

@@ -26,12 +26,37 @@ def test_audit_finds_what_differs(spark, monkeypatch):
         byfile[r["file_id"]] = r["offset"] + r["length"]
 
 
-def test_missing_and_extra_records(spark):
-    rows = [(i, bytes([i])) for i in range(30)]
-    out = merkle.audit(frame(spark, rows), frame(spark, rows[:29])).collect()
-    assert [(r["page_id"], r["status"]) for r in out if r["status"] != "intact"] [-1:] and sum(r["status"] == "missing" for r in out) == 1
-    out = merkle.audit(frame(spark, rows[:29]), frame(spark, rows)).collect()
-    assert sum(r["status"] == "extra" for r in out) == 1
+def statuses(spark, rows, other, **columns):
+    out = merkle.audit(frame(spark, rows), frame(spark, other)).collect()
+    return sorted((r["page_id"], r["status"]) for r in out if r["status"] not in ("intact", "moved")), out
+
+
+def test_missing_and_extra_records_are_named(spark):
+    rows = [(i, b"record %d" % i) for i in range(30)]
+    bad, out = statuses(spark, rows, rows[:3] + rows[4:])
+    assert bad == [(3, "missing")]
+    assert sorted(r["page_id"] for r in out if r["status"] == "moved") == list(range(4, 30))
+    assert statuses(spark, rows[:3] + rows[4:], rows)[0] == [(3, "extra")]
+    assert statuses(spark, rows[:29], rows)[0] == [(29, "extra")]
+    assert statuses(spark, rows, rows[:7] + [(7, b"short")] + rows[9:] + [(100, b"new")])[0] == [(7, "altered"), (8, "missing"), (100, "extra")]
+
+
+def test_repeated_and_null_keys_fill_no_file(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "FILE_RECORDS", 20)
+    rows = [(None, b"n%d" % i) for i in range(400)] + [(7, b"same")] * 5 + [(i, b"r%d" % i) for i in range(100, 300)]
+    entries = merkle.manifest(frame(spark, rows), 30, merkle.often(frame(spark, rows)))
+    assert entries.groupBy("file_id").count().agg(F.max("count")).first()[0] < 60
+    other = [r for r in rows if r != (None, b"n17")] + [(None, b"new"), (7, b"same")]
+    out = merkle.audit(frame(spark, rows), frame(spark, other)).collect()
+    named = {(r["status"], r["page_id"], r["digest"] or r["replica_digest"]) for r in out if r["status"] not in ("intact", "moved")}
+    assert named == {("missing", None, hashlib.sha256(b"n17").hexdigest()), ("extra", None, hashlib.sha256(b"new").hexdigest()), ("extra", 7, hashlib.sha256(b"same").hexdigest())}
+
+
+def test_clashing_columns_and_long_records(spark):
+    rows = [(i, bytes([i]) * (3_000_000 if i == 2 else 5), i, "x") for i in range(9)]
+    make = lambda r: spark.createDataFrame(r, "page_id bigint, record binary, seq int, status string")
+    out = merkle.audit(make(rows), make([r for r in rows if r[0] != 4])).collect()
+    assert [(r["page_id"], r["status"]) for r in out if r["status"] not in ("intact", "moved")] == [(4, "missing")] and len(out) == 9
 
 
 def test_same_and_empty(spark):
@@ -42,7 +67,7 @@ def test_same_and_empty(spark):
 
 
 def test_levels_shrink_to_one_root(spark):
-    entries = merkle.manifest(frame(spark, [(i, str(i).encode()) for i in range(600)]), 3)
+    entries = merkle.manifest(frame(spark, [(i, str(i).encode()) for i in range(600)]), 3, spark.createDataFrame([], "name string"))
     both = entries.withColumn("replica", F.lit(0)).unionByName(entries.withColumn("replica", F.lit(1)))
     found = merkle.trees(both, 3, 300)
     assert found.within >= 2 and found.levels[-1].count() == 2

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 import corpus_pipeline
@@ -15,8 +16,10 @@ def test_stages_on_the_smallest_table(spark):
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = []
     for i, r in rows.items():
-        words, chars, _, _, _, repeated = plain_facts(r["text"])
-        if words >= 50 and 100 * repeated <= 50 * words and chars <= 40 * words and 2 * chars >= 3 * words:
+        words, chars, symbols, lines, doubled, repeated = plain_facts(r["text"])
+        letters = sum(unicodedata.category(c)[0] == "L" for c in r["text"])
+        short = words < 50 or 100 * repeated > 50 * words or chars > 40 * words or 2 * chars < 3 * words
+        if not (short or 10 * symbols > 6 * words or (lines >= 4 and 100 * doubled > 60 * lines) or 100 * letters < 40 * chars):
             kept.append((i, r["text"]))
     stages = [f for _, f in corpus_pipeline.STAGES]
     at = stages[0](spark, docs, SMALL).cache()

@@ -43,7 +43,7 @@ def spark_session(spark):
 
 
 def test_policies_and_ablations(spark):
-    df = spark.createDataFrame([(1, "word " * 10, 5), (2, " ".join(f"w{i}" for i in range(80)), 6), (3, "same thing again " * 40, 7), (None, None, 8)], "doc_id bigint, text string, failed int")
+    df = spark.createDataFrame([(1, "word " * 10, 5), (2, " ".join(f"word{i}" for i in range(80)), 6), (3, "same thing again " * 40, 7), (None, None, 8)], "doc_id bigint, text string, failed int")
     entries = rules.ledger(df)
     kept = {r["doc_id"]: r["kept"] for r in rules.apply_policy(entries).collect()}
     assert kept == {1: False, 2: True, 3: False, None: False}
