@@ -119,7 +119,7 @@ def _domain(text: str, start: int, bare_at: bool) -> tuple[list[tuple[int, int]]
         if parts:
             word, sep = label[0].lower(), text[slice(*parts[-1])]
             bare = sep.strip().lower() == "dot"
-            if not bare or word in _KNOWN or (word.isalpha() and len(word) > 1 and word not in _FUNCTION and not (bare_at and before in _FUNCTION)):
+            if not bare or not (bare_at and before in _FUNCTION) and (word in _KNOWN or (word.isalpha() and len(word) > 1 and word not in _FUNCTION)):
                 kept = len(parts)
         before = label[0].lower()
         sep = _SEPARATOR.match(text, label.end())
