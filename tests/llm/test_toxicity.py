@@ -11,11 +11,11 @@ def test_folding():
     assert t.fold("1D10T") == t.fold("idiot") == t.fold("ïdіоt") == t.fold("i​d­iot")
     assert t.fold("c1own") == t.fold("clown")
     assert t.fold("") == " " and t.fold("!!") == " "
+    assert t.fold("you s c u m b a g") == t.fold("you scumbag") and t.fold("a b cd") == " a b cd "
 
 
 def test_matching_and_exceptions():
-    own = t.Matcher((("trash", 2.0), ("idiot", 3.0)), ("trash can",))
-    folded = tuple((t.fold(k)[1:], w) for k, w in (("trash", 2.0), ("idiot", 3.0)))
+    folded = tuple((t.fold(k).strip(), w) for k, w in (("trash", 2.0), ("idiot", 3.0)))
     own = t.Matcher(folded, ("trash can",))
     assert own.evidence("the trash can is full") == (0.0, 5)
     assert own.evidence("you trash, you 1diots") == (5.0, 4)
@@ -66,5 +66,69 @@ def test_without_labels(spark):
 @pytest.mark.parametrize("bound", [10, 400])
 def test_fit_reads_a_bounded_sample(spark, bound):
     docs, labels = make(spark, 600)
-    model = t.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), fit_rows=bound)
-    assert len(model.terms) <= t.MAX_TERMS
+    # One id has very many texts: it is one of the sample's rows all the same.
+    docs += [(9, f"text {i}") for i in range(2000)]
+    seen = []
+    keep, t.calibrate = t.calibrate, lambda w, n, y: seen.append(len(y)) or keep(w, n, y)
+    try:
+        t.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), fit_rows=bound)
+    finally:
+        t.calibrate = keep
+    assert all(n <= bound for n in seen)
+
+
+def naive(text, terms, exceptions):
+    """Every word against every term, one by one."""
+    words = t.fold(text).split()
+    spared = set()
+    for phrase in exceptions:
+        own = t.fold(phrase).split()
+        for i in range(len(words) - len(own) + 1):
+            if words[i : i + len(own) - 1] == own[:-1] and words[i + len(own) - 1].startswith(own[-1]):
+                spared |= set(range(i, i + len(own)))
+    total = 0.0
+    for i, word in enumerate(words):
+        fits = [w for term, w in terms if (word == term if len(term) < 4 else word.startswith(term))]
+        if fits and i not in spared:
+            total += max(fits)
+    return total, len(words)
+
+
+def test_matches_like_a_naive_matcher():
+    rnd = random.Random(5)
+    vocabulary = ["trash", "can", "tra5h", "idiot", "idi0tic", "ass", "assist", "cl0wn", "fish", "a", "b", "c", "w", "trashcan", "Idióts"]
+    terms = tuple((t.fold(k).strip(), w) for k, w in (("trash", 2.0), ("idiot", 3.0), ("idiotic", 4.0), ("ass", 1.5), ("clown", 2.5)))
+    own = t.Matcher(terms, ("trash can", "clown fish"))
+    for _ in range(500):
+        text = rnd.choice([" ", ", ", "\n"]).join(rnd.choice(vocabulary) for _ in range(rnd.randrange(15)))
+        assert own.evidence(text) == pytest.approx(naive(text, terms, ("trash can", "clown fish"))), text
+
+
+def test_rare_terms_count_and_copies_do_not():
+    rows = (2000, 18000)
+    chosen = t.choose_terms({"scumbag": 25, "rareword": 8, "common": 900, "moron": 30}, {"common": 8000, "moron": 1}, rows)
+    assert set(chosen) == {"scumbag", "rareword", "moron"}
+
+
+def test_words_of_copies_make_no_terms(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(100)]
+    docs, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(30)]
+        if i % 9 == 0:
+            words = passage[:] if i % 18 == 0 else words
+            for _ in range(3 if i % 18 == 0 else 1):
+                words[rnd.randrange(len(words))] = "scumbag"
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 9 == 0)))
+    model = t.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert set(model.terms) == {"scumbag"}
+
+
+def test_clashing_columns_nulls_and_long_texts(spark):
+    docs = [(1, "scumbag " * 5, 1, 2.0, "x"), (None, None, 1, 2.0, "x"), (2, "word " * 500_000, 1, 2.0, "x")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, predicted int, score double, lexicon_weight string")
+    out = t.toxicity(df, t.Model({"scumbag": 5.0}, (), (-4.0, 2.0, 1.0))).collect()
+    assert [r["predicted"] for r in out] == [1, 0, 0] and len(out[0]) == 5
