@@ -54,8 +54,10 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
-_FOLDABLE = [c for c in map(chr, [*range(0xAA, 0x180)]) if len(fold(c)) == 1 and fold(c) != c.lower() and c == c.lower()]
-ACCENTED, PLAIN = "".join(_FOLDABLE), "".join(map(fold, _FOLDABLE))
+_LATIN = map(chr, [*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)])
+_FOLDABLE = [c for c in _LATIN if len(fold(c)) == 1 and fold(c) != c and c == c.lower() and fold(c) not in "\\'"]
+#: Letters with one plain letter each, and after them the combining marks, which have none and go.
+ACCENTED, PLAIN = "".join(_FOLDABLE) + "".join(map(chr, range(0x300, 0x370))), "".join(map(fold, _FOLDABLE))
 
 
 def entity_table(spark: SparkSession) -> DataFrame:

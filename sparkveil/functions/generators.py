@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions import checkdigits as cd
-from sparkveil.functions import text
 
 # The area codes generated numbers use.
 PHONE_AREAS = (11, 21, 31, 41, 51, 61, 71, 81, 85, 91, 47, 19)
@@ -17,54 +18,32 @@ def base(k: str, n: int, salt: int = 0) -> str:
     return f"lpad(cast(({k} * {7919 + 2 * salt * 5} + {104729001 + 31 * salt}) % {10**n} as string), {n}, '0')"
 
 
-
-
 def _phone(k: str) -> str:
     """A mobile number for even keys, a landline for odd ones."""
-    area = "case " + " ".join(f"when {k} % {len(PHONE_AREAS)} = {i} then '{a}'" for i, a in enumerate(PHONE_AREAS)) + " end"
-    return f"(case when {k} % 2 = 0 then concat({area}, '9', {base(k, 8, 9)}) else concat({area}, cast(2 + {k} % 4 as string), {base(k, 7, 9)}) end)"
+    area = f"element_at(array({', '.join(repr(str(a)) for a in PHONE_AREAS)}), cast({k} % {len(PHONE_AREAS)} + 1 as int))"
+    return f"concat({area}, if({k} % 2 = 0, concat('9', {base(k, 8, 9)}), concat(cast(2 + {k} % 4 as string), {base(k, 7, 9)})))"
 
 
-def _cns(b: str) -> str:
-    """The suffix is 000 and a check digit; where that is 10, 001 and the digit after two more in the sum."""
-    total = cd.weighted(b, range(15, 4, -1))
-    plain = f"((11 - {total} % 11) % 11)"
-    return f"(case when {plain} = 10 then concat({b}, '001', cast((11 - ({total} + 2) % 11) % 11 as string)) else concat({b}, '000', cast({plain} as string)) end)"
+def _with_check(head: str, check) -> str:
+    return cd.bind(head, "b", f"concat(b, {check('b')})")
 
 
-def steps(k: str, wide: str = "decimal(38, 0)") -> list[dict[str, str]]:
-    """Columns to add one step after another, each from those before: base digits, check digits, second check
-    digits. Steps keep expressions small enough for generated code."""
+def made(k: str) -> dict[str, str]:
+    """SQL of each entity's digits from a key."""
     tail = f"concat(cast(2015 + {k} % 12 as string), substr('12458', cast(1 + {k} % 5 as int), 1), lpad(cast(1 + {k} % 26 as string), 2, '0'), lpad(cast({k} % 10000 as string), 4, '0'))"
-    digits = {
-        "b_cpf": base(k, 9),
-        "b_cnpj": f"concat({base(k, 8, 1)}, '0001')",
-        "b_pis": base(k, 10, 2),
-        "b_cnh": base(k, 9, 3),
-        "b_titulo": f"concat({base(k, 8, 4)}, lpad(cast(1 + {k} % 28 as string), 2, '0'))",
-        "b_cns": f"concat(cast(1 + {k} % 2 as string), {base(k, 10, 5)})",
-        "b_cnj": base(k, 7, 6),
-        "t_cnj": tail,
-        "b_rg": base(k, 8, 7),
+    process = cd.bind(f"concat({base(k, 7, 6)}, '00', {tail})", "x", f"concat(substr(x, 1, 7), lpad(cast({cd.cnj_check('x')} as string), 2, '0'), substr(x, 10))")
+    return {
+        "cpf": _with_check(base(k, 9), cd.cpf_check),
+        "cnpj": _with_check(f"concat({base(k, 8, 1)}, '0001')", cd.cnpj_check),
+        "pis_pasep": _with_check(base(k, 10, 2), cd.pis_check),
+        "cnh": _with_check(base(k, 9, 3), cd.cnh_check),
+        "titulo_eleitor": _with_check(f"concat({base(k, 8, 4)}, lpad(cast(1 + {k} % 28 as string), 2, '0'))", cd.titulo_check),
+        "cns": _with_check(f"concat(cast(1 + {k} % 2 as string), {base(k, 10, 5)})", cd.cns_tail),
+        "processo_cnj": process,
+        "rg": _with_check(base(k, 8, 7), cd.rg_digit),
         "cep": base(k, 8, 8),
         "telefone": _phone(k),
     }
-    first = {
-        "c_cpf": f"concat(b_cpf, cast({cd.mod11(cd.weighted('b_cpf', cd.CPF_1))} as string))",
-        "c_cnpj": f"concat(b_cnpj, cast({cd.mod11(cd.weighted('b_cnpj', cd.CNPJ_1))} as string))",
-        "pis_pasep": f"concat(b_pis, cast({cd.mod11(cd.weighted('b_pis', cd.PIS))} as string))",
-        "cnh": f"concat(b_cnh, cast({cd.cnh_first('b_cnh')} as string), cast({cd.cnh_second('b_cnh')} as string))",
-        "titulo_eleitor": f"concat(b_titulo, cast({cd.titulo_first('b_titulo')} as string), cast({cd.titulo_second('b_titulo')} as string))",
-        "cns": _cns("b_cns"),
-        "z_cnj": "concat(b_cnj, '00', t_cnj)",
-        "rg": f"concat(b_rg, {cd.rg_digit('b_rg')})",
-    }
-    second = {
-        "cpf": f"concat(c_cpf, cast({cd.mod11(cd.weighted('c_cpf', cd.CPF_2))} as string))",
-        "cnpj": f"concat(c_cnpj, cast({cd.mod11(cd.weighted('c_cnpj', cd.CNPJ_2))} as string))",
-        "processo_cnj": f"concat(b_cnj, lpad(cast({cd.cnj_check('z_cnj', wide)} as string), 2, '0'), t_cnj)",
-    }
-    return [digits, first, second]
 
 
 #: Entities with generated identifiers; each has a column of its name in lower case.
@@ -72,11 +51,9 @@ MADE = ("CPF", "CNPJ", "PIS_PASEP", "CNH", "TITULO_ELEITOR", "CNS", "PROCESSO_CN
 
 
 def with_identifiers(df: DataFrame, key: str = "k") -> DataFrame:
-    """Add a column of digits for each entity of MADE, from a key column."""
-    at = df
-    for step in steps(key):
-        at = at.withColumns({name: F.expr(e) for name, e in step.items()})
-    return at.select(*df.columns, *(text.fence(F.col(e.lower())).alias(e.lower()) for e in MADE))
+    """Add a column of digits for each entity of MADE, from a key column. Columns that are not read are not made."""
+    sql = made(f"`{key}`")
+    return df.withColumns({e.lower(): F.expr(sql[e.lower()]) for e in MADE})
 
 
 def broken(x: str) -> str:
@@ -87,17 +64,14 @@ def broken(x: str) -> str:
 
 def masked(x: str, mask: str) -> str:
     """Put the characters of x in place of the # of a mask, in order."""
-    parts, i, literal = [], 1, ""
-    for c in mask:
-        if c == "#":
-            if literal:
-                parts.append("'" + literal + "'")
-                literal = ""
-            parts.append(f"substr({x}, {i}, 1)")
-            i += 1
+    parts, i = [], 1
+    for run in re.findall(r"#+|[^#]+", mask):
+        if run[0] == "#":
+            parts.append(f"substr({x}, {i}, {len(run)})")
+            i += len(run)
         else:
-            literal += c
-    return "concat(" + ", ".join([*parts, *(["'" + literal + "'"] if literal else [])]) + ")"
+            parts.append(f"'{run}'")
+    return "concat(" + ", ".join(parts) + ")"
 
 
 MASKS = {"CPF": "###.###.###-##", "CNPJ": "##.###.###/####-##", "PIS_PASEP": "###.#####.##-#", "PROCESSO_CNJ": "#######-##.####.#.##.####", "RG": "##.###.###-#", "CEP": "#####-###", "CNS": "### #### #### ####", "TITULO_ELEITOR": "#### #### ####"}

@@ -18,30 +18,60 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+_TOLD = "map(" + ", ".join(f"'{n}', array({', '.join(repr(t) for t in terms)})" for n, terms in dims.TELLING.items()) + ")"
+_SHAPES = ", ".join(f"'{n}'" for n in dims.TELLING)
+
+
+def window_sql(column: str, start: str) -> str:
+    """The folded characters before a place that may hold an anchor."""
+    return text.folded_sql(f"substr({column}, greatest({start} - {dims.LOOK_BACK}, 0) + 1, least({start}, {dims.LOOK_BACK}))")
+
+
+def told_sql(entity: str, window: str) -> str:
+    """Whether the window holds a word that tells the entity from others of its shape."""
+    return f"exists(coalesce(element_at({_TOLD}, {entity}), array()), t -> contains({window}, t))"
+
+
+def without_rivals_sql(spans: str) -> str:
+    """Spans (with `told`) but those of an ambiguous shape, not told, whose range has exactly one that is."""
+    rivals = f"filter({spans}, y -> y.entity in ({_SHAPES}) and y.start = x.start and y.end = x.end and y.told)"
+    return f"filter({spans}, x -> not (x.entity in ({_SHAPES}) and not x.told and size({rivals}) = 1))"
+
+
+def clusters_sql(spans: str, element: str) -> str:
+    """An array of spans as an array of arrays that share no position with each other, in order of position. What is
+    quadratic is so within these alone."""
+    zero = f"struct(-1 as reach, cast(array() as array<{element}>) as now, cast(array() as array<array<{element}>>) as done)"
+    grown = "struct(greatest(a.reach, s.end) as reach, array_append(a.now, s) as now, a.done as done)"
+    fresh = "struct(s.end as reach, array(s) as now, array_append(a.done, a.now) as done)"
+    return f"filter(aggregate(array_sort({spans}), {zero}, (a, s) -> if(s.start < a.reach, {grown}, {fresh}), a -> array_append(a.done, a.now)), c -> size(c) > 0)"
+
+
 def disambiguate(df: DataFrame, *, column: str = "text", spans: str = "spans") -> DataFrame:
     """Among spans of the same range with the shapes CPF, PIS and CNH, keep the one whose anchor, alone of theirs,
     stands in the look-back; otherwise leave them all."""
-    names = ", ".join(f"'{n}'" for n in dims.TELLING)
-    window = f"translate(lower(substr({column}, greatest(s.start - {dims.LOOK_BACK}, 0) + 1, least(s.start, {dims.LOOK_BACK}))), '{dims.ACCENTED}', '{dims.PLAIN}')"
-    near = "case " + " ".join(f"when s.entity = '{n}' then (" + " or ".join(f"contains({window}, '{t}')" for t in terms) + ")" for n, terms in dims.TELLING.items()) + " else false end"
-    at = df.withColumn("_near", F.expr(f"transform({spans}, s -> struct(s as s, s.entity in ({names}) as shape, {near} as near))"))
-    rivals = "filter(_near, y -> y.shape and y.s.start = x.s.start and y.s.end = x.s.end)"
-    lost = f"x.shape and not x.near and size({rivals}) > 1 and size(filter({rivals}, y -> y.near)) = 1"
-    return at.withColumn(spans, F.expr(f"transform(filter(_near, x -> not ({lost})), x -> x.s)")).drop("_near")
+    seen = f"transform({spans}, s -> struct(s.start as start, s.end as end, s.entity as entity, s.score as score, s.note as note, {told_sql('s.entity', window_sql(column, 's.start'))} as told))"
+    plain = "struct(x.start as start, x.end as end, x.entity as entity, x.score as score, x.note as note)"
+    kept = f"transform({clusters_sql(seen, _SPAN[:-1] + ',told:boolean>')}, c -> transform({without_rivals_sql('c')}, x -> {plain}))"
+    return text.with_bound(df, {spans: F.expr(f"flatten({kept})")})
 
 
-def weight(entity: Column) -> Column:
-    """Precedence of an entity; 0 if it has none."""
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(v) for pair in dims.WEIGHT.items() for v in pair)), entity), F.lit(0))
+_WEIGHTS = "map(" + ", ".join(f"'{n}', {w}" for n, w in dims.WEIGHT.items()) + ")"
+
+
+def greedy_sql(spans: str) -> str:
+    """A greedy choice of disjoint spans: higher precedence, longer, higher score, earlier; in order of position."""
+    ranked = f"array_sort(transform({spans}, s -> struct(-coalesce(element_at({_WEIGHTS}, s.entity), 0) as a, s.start - s.end as b, -s.score as c, s.start as start, s.end as end, s.entity as entity, s.score as score, s.note as note)))"
+    plain = "struct(s.start as start, s.end as end, s.entity as entity, s.score as score, s.note as note)"
+    chosen = f"aggregate(transform({ranked}, s -> {plain}), cast(array() as array<{_SPAN}>), (a, s) -> if(exists(a, o -> o.start < s.end and s.start < o.end), a, array_append(a, s)))"
+    return f"array_sort({chosen})"
 
 
 def resolve(df: DataFrame, *, spans: str = "spans") -> DataFrame:
-    """Greedy choice of disjoint spans: higher precedence, longer, higher score, earlier; in order of position. The
-    fold looks at each accepted span, so it is for the spans of one document, tens as a rule."""
-    ranked = F.array_sort(F.transform(F.col(spans), lambda s: F.struct((-weight(s["entity"])).alias("a"), (s["start"] - s["end"]).alias("b"), (-s["score"]).alias("c"), s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), s["score"].alias("score"), s["note"].alias("note"))))
-    plain = F.transform(ranked, lambda s: F.struct(*(s[f].alias(f) for f in ("start", "end", "entity", "score", "note"))))
-    chosen = F.aggregate(plain, F.array().cast(f"array<{_SPAN}>"), lambda acc, s: F.when(F.exists(acc, lambda a: overlap(a, s)), acc).otherwise(F.array_append(acc, s)))
-    return df.withColumn(spans, F.array_sort(chosen))
+    """A greedy choice of disjoint spans, in order of position. Spans are swept once into clusters that share no
+    position; the choice within one looks at each accepted span of it."""
+    plain = f"transform({spans}, s -> struct(cast(s.start as int) as start, cast(s.end as int) as end, s.entity as entity, s.score as score, s.note as note))"
+    return text.with_bound(df, {spans: F.expr(f"flatten(transform({clusters_sql(plain, _SPAN)}, c -> {greedy_sql('c')}))")})
 
 
 def only(df: DataFrame, entities: tuple[str, ...] = dims.REDACTED, *, spans: str = "spans") -> DataFrame:
@@ -69,8 +99,7 @@ def absorb_contained(spans: DataFrame) -> DataFrame:
 
 def split_lines(df: DataFrame, *, column: str = "text") -> DataFrame:
     """Spans (doc_id, text, start, end, entity, score) cut at line ends, one row a line, empty lines dropped."""
-    value = F.expr(f"substring({column}, start + 1, end - start)")
-    parts = text.matches(value, r"[^\n]+")
+    parts = text.matches(f"substring({column}, start + 1, end - start)", r"[^\n]+")
     at = df.withColumn("_part", F.explode(parts))
     return at.select(*(c for c in df.columns if c not in ("start", "end")), (F.col("start") + F.col("_part.start")).alias("start"), (F.col("start") + F.col("_part.end")).alias("end")).where(F.length(F.trim(F.expr(f"substring({column}, start + 1, end - start)"))) > 0)
 

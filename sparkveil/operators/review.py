@@ -68,10 +68,10 @@ def neighbours(spans: DataFrame, key: str = "span_id", order: str = "start") ->
 def mark_term(docs: DataFrame, term: str, *, column: str = "text", spans: str = "spans") -> DataFrame:
     """(doc_id, start, end, value): places of a term, whatever its white space, that no active span overlaps. `spans`
     is an array of the active ones."""
-    hits = text.matches(F.col(column), text.literal_pattern(term))
+    hits = text.matches(f"`{column}`", text.literal_pattern(term))
     at = docs.withColumn("_hits", hits)
     free = F.filter("_hits", lambda h: ~F.exists(spans, lambda s: (s["start"] < h["end"]) & (h["start"] < s["end"])))
-    return at.select("doc_id", F.inline_outer(text.fence(free))).where("start IS NOT NULL")
+    return at.select("doc_id", F.inline(free))
 
 
 def repaired(body: Column, start: Column, end: Column, claimed: Column, reach: int = 500) -> Column:

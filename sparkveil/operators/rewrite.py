@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.functions import dims, text
 
+_SUBSTITUTIONS = "array<struct<start:int,end:int,entity:string,token:string>>"
+
 
 def value_key(value: Column) -> Column:
     """Values that differ in white space alone get one token; case and accents count."""
@@ -38,34 +42,51 @@ def tokens(spans: DataFrame, *, seed: int | None = None) -> DataFrame:
 def splice(df: DataFrame, *, column: str = "text", edits: str = "edits", out: str = "rewritten") -> DataFrame:
     """Add `out`: the text with each edit (array of struct start, end, put) done. Edits may touch; overlapping ones
     are an error. A null text stays null."""
-    ordered = F.array_sort(F.transform(F.col(edits), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["put"].alias("put"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    body = F.col(f"`{column}`")
+    ordered = F.array_sort(F.transform(F.col(edits), lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["put"].alias("put"))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, e: Column) -> Column:
-        gap = F.substring(F.col(column), acc["at"] + 1, e["start"] - acc["at"])
-        return F.when(e["start"] < acc["at"], F.raise_error(F.lit("edits overlap")).cast("struct<at:int,done:string>")).otherwise(F.struct(e["end"].alias("at"), F.concat(acc["done"], gap, e["put"]).alias("done")))
+        gap = F.substring(body, acc["at"] + 1, e["start"] - acc["at"])
+        return F.when(e["start"] < acc["at"], F.raise_error(F.lit("edits overlap")).cast("struct<at:int,done:array<string>>")).otherwise(F.struct(e["end"].alias("at"), F.array_append(acc["done"], F.concat(gap, e["put"])).alias("done")))
 
-    whole = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["done"], F.substring(F.col(column), acc["at"] + 1, F.length(F.col(column)))))
-    return df.withColumn(out, text.fence(F.when(F.size(edits) > 0, whole).otherwise(F.col(column))))
+    whole = F.aggregate(ordered, zero, step, lambda acc: F.array_join(F.array_append(acc["done"], F.substring(body, acc["at"] + 1, F.length(body))), ""))
+    return text.with_bound(df, {out: F.when(F.size(edits) > 0, whole).otherwise(body)})
 
 
-def redact(df: DataFrame, *, column: str = "text", spans: str = "spans", mark: Column | None = None, out: str = "rewritten") -> DataFrame:
-    """Add `out`: the text without the spans' values, or with `mark` (a column of the span) in their place."""
-    edits = F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.concat(F.lit("["), s["entity"], F.lit("]")) if mark is None else mark).alias("put")))
+def redact(df: DataFrame, *, column: str = "text", spans: str = "spans", mark: Callable[[Column], Column] | None = None, out: str = "rewritten") -> DataFrame:
+    """Add `out`: the text without the spans' values, or with `mark` of the span in their place; `by_entity` marks a
+    span by its entity."""
+    edits = F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.lit("") if mark is None else mark(s)).alias("put")))
     return splice(df.withColumn("_edits", edits), column=column, edits="_edits", out=out).drop("_edits")
 
 
+def by_entity(span: Column) -> Column:
+    return F.concat(F.lit("["), span["entity"], F.lit("]"))
+
+
 def pseudonymise(df: DataFrame, *, column: str = "text", spans: str = "spans", seed: int | None = None) -> DataFrame:
     """Add `rewritten`, `substitutions` (array of start, end, entity, token) and `tokens` (distinct, sorted).
 
-    Spans are dealt by document for their tokens and come back as one array a document; only spans travel, and the
-    text joins them by doc_id, which must be unique.
+    A document's tokens depend on it alone, so they are given within its row: nothing is shuffled. Codes are those of
+    `tokens`, of a value's place among the document's values of all entities; more than 65,536 are an error.
     """
-    value = lambda s: F.substring(F.col(column), s["start"] + 1, s["end"] - s["start"])
-    rows = df.select("doc_id", F.inline_outer(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), value(s).alias("value"))))).where("start IS NOT NULL")
-    made = tokens(rows, seed=seed).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity", "token"))).alias("substitutions"))
-    empty = F.array().cast("array<struct<start:int,end:int,entity:string,token:string>>")
-    at = df.join(made, "doc_id", "left").withColumn("substitutions", F.coalesce("substitutions", empty))
+    seeded = [F.xxhash64(F.lit(seed), F.lit(n), F.col("doc_id")) if seed is not None else F.floor(F.rand() * (1 << 40)).cast("bigint") for n in (1, 2)]
+    at = df.withColumns({"_a": F.pmod(seeded[0], F.lit(32768)) * 2 + 1, "_b": F.pmod(seeded[1], F.lit(65536))})
+    value = lambda s: value_key(F.substring(F.col(f"`{column}`"), s["start"] + 1, s["end"] - s["start"]))
+    keyed = F.transform(F.array_sort(F.col(spans)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), F.concat(s["entity"], F.lit(":"), value(s)).alias("key")))
+    prefixes = F.create_map(*(F.lit(v) for pair in dims.PREFIX.items() for v in pair))
+
+    def made(all_: Column) -> Column:
+        def one(s: Column) -> Column:
+            code = F.pmod(F.col("_a") * (F.array_position(all_["names"], s["key"]) - 1) + F.col("_b"), F.lit(65536)).cast("bigint")
+            prefix = F.coalesce(F.element_at(prefixes, s["entity"]), F.raise_error(F.lit("entity without a prefix")).cast("string"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), F.concat(F.lit("["), prefix, F.lit("-"), F.lpad(F.hex(code), 4, "0"), F.lit("]")).alias("token"))
+
+        return F.when(F.size(all_["names"]) > 65536, F.raise_error(F.lit("no codes left")).cast(_SUBSTITUTIONS)).otherwise(F.transform(all_["keyed"], one))
+
+    named = text.bind(keyed, lambda k: F.struct(k.alias("keyed"), F.array_distinct(F.transform(k, lambda s: s["key"])).alias("names")))
+    at = text.with_bound(at, {"substitutions": F.coalesce(text.bind(named, made), F.array().cast(_SUBSTITUTIONS))}).drop("_a", "_b")
     at = at.withColumn("_edits", F.transform("substitutions", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("put"))))
     at = splice(at, column=column, edits="_edits")
     return at.withColumn("tokens", F.array_sort(F.array_distinct(F.transform("substitutions", lambda s: s["token"])))).drop("_edits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.functions.text import fence
+from sparkveil.functions.text import stripped, with_bound
 
 #: Fixed value: shorter forms are not looked for.
 LEAST = 5
@@ -13,7 +13,7 @@ LEAST = 5
 
 def variants(value: Column) -> Column:
     """Forms a value may reappear in: as it is, with spaces collapsed, its digits, without spaces."""
-    digits, solid = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(value, r"(?U)\s", "")
+    digits, solid = F.regexp_replace(value, r"(?U)\D", ""), F.regexp_replace(value, r"(?U)\s", "")
     forms = F.array_distinct(F.array(value, F.regexp_replace(value, r"(?U)\s+", " "), digits, solid))
     return F.filter(forms, lambda f: F.length(f) >= LEAST)
 
@@ -29,22 +29,24 @@ def by_digits(surface: Column) -> Column:
 
 def found_as(forms: Column, words: Column, digits: Column) -> Column:
     """The first form that a surface holds, or null. Forms of digits alone are sought among digits."""
-    hits = F.filter(forms, lambda f: F.contains(F.when(f.rlike(r"^\d+$"), digits).otherwise(words), f))
+    hits = F.filter(forms, lambda f: F.contains(F.when(f.rlike(r"(?U)^\d+$"), digits).otherwise(words), f))
     return F.get(hits, F.lit(0))
 
 
 def leaks(values: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(doc_id, surface, object_id, value, detail): values (doc_id, value) found in surfaces (doc_id, surface,
-    object_id, content). Values join surfaces of their document alone; short ones are not sought."""
-    needles = values.select("doc_id", F.trim("value").alias("value")).where(F.length("value") >= LEAST).distinct().withColumn("forms", variants(F.col("value")))
+    object_id, content). A document's values come to each of its surfaces as one array, so a surface is read once;
+    short values are not sought."""
+    needles = values.select("doc_id", stripped(F.col("value")).alias("value")).where(F.length("value") >= LEAST).groupBy("doc_id").agg(F.collect_set("value").alias("sought"))
     hay = surfaces.select("doc_id", "surface", "object_id", by_words(F.col("content")).alias("words"), by_digits(F.col("content")).alias("digits"))
-    return needles.join(hay, "doc_id").withColumn("detail", found_as(F.col("forms"), F.col("words"), F.col("digits"))).withColumn("detail", fence(F.col("detail"))).where("detail IS NOT NULL").select("doc_id", "surface", "object_id", "value", "detail")
+    found = F.transform("sought", lambda v: F.struct(v.alias("value"), found_as(variants(v), F.col("words"), F.col("digits")).alias("detail")))
+    return hay.join(needles, "doc_id").select("doc_id", "surface", "object_id", F.inline(F.filter(found, lambda f: f["detail"].isNotNull())))
 
 
 def leaked_values(text: Column, values: Column) -> Column:
     """Of an array of values, those a text still holds; within the row, without a join."""
     words, digits = by_words(text), by_digits(text)
-    sought = F.filter(F.array_distinct(F.transform(values, lambda v: F.trim(v))), lambda v: F.length(v) >= LEAST)
+    sought = F.filter(F.array_distinct(F.transform(values, stripped)), lambda v: F.length(v) >= LEAST)
     return F.filter(sought, lambda v: found_as(variants(v), words, digits).isNotNull())
 
 
@@ -54,11 +56,12 @@ def missing_tokens(text: Column, tokens: Column) -> Column:
 
 def verify_text(df: DataFrame, *, column: str = "rewritten", values: str = "values", tokens: str | None = None) -> DataFrame:
     """Add surfaces, n_values, leaks (values), lost_tokens and ok."""
-    at = df.withColumn("leaks", leaked_values(F.col(column), F.col(values)))
-    at = at.withColumn("lost_tokens", missing_tokens(F.col(column), F.col(tokens)) if tokens else F.array().cast("array<string>"))
-    surfaces = F.array(F.lit("texto"), F.lit("tokens-presentes")) if tokens is None else F.when(F.size(tokens) > 0, F.array(F.lit("texto"), F.lit("tokens-presentes"))).otherwise(F.array(F.lit("texto")))
-    at = at.withColumn("surfaces", F.array(F.lit("texto")) if tokens is None else surfaces)
-    return at.withColumn("n_values", F.size(F.filter(F.array_distinct(F.transform(F.col(values), lambda v: F.trim(v))), lambda v: F.length(v) >= LEAST))).withColumn("ok", fence((F.size("leaks") == 0) & (F.size("lost_tokens") == 0)))
+    plain = F.array(F.lit("texto"))
+    surfaces = plain if tokens is None else F.when(F.size(tokens) > 0, F.array(F.lit("texto"), F.lit("tokens-presentes"))).otherwise(plain)
+    sought = F.filter(F.array_distinct(F.transform(F.col(values), stripped)), lambda v: F.length(v) >= LEAST)
+    lost = missing_tokens(F.col(column), F.col(tokens)) if tokens else F.array().cast("array<string>")
+    at = with_bound(df, {"surfaces": surfaces, "n_values": F.size(sought), "leaks": leaked_values(F.col(column), F.col(values)), "lost_tokens": lost})
+    return at.withColumn("ok", (F.size("leaks") == 0) & (F.size("lost_tokens") == 0))
 
 
 def hex_strings(content: Column) -> Column:
@@ -71,7 +74,7 @@ def occurrences(value: Column, page: Column) -> Column:
     """Times a page holds a value: the most of its forms, each counted without overlap."""
     words, digits = by_words(page), by_digits(page)
     count = lambda f, h: ((F.length(h) - F.length(F.replace(h, f, F.lit("")))) / F.length(f)).cast("bigint")
-    return F.coalesce(F.array_max(F.transform(variants(value), lambda f: count(f, F.when(f.rlike(r"^\d+$"), digits).otherwise(words)))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(variants(value), lambda f: count(f, F.when(f.rlike(r"(?U)^\d+$"), digits).otherwise(words)))), F.lit(0))
 
 
 def dissect(found: DataFrame, visible: tuple[str, ...] = ("texto",)) -> DataFrame:

@@ -51,7 +51,11 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("k", "entity", test("value").alias("valid"), test("mutated").alias("mutated_valid"))
 
 
-@query("multi_checksum_rate", f"WITH {P} SELECT count(*) AS n, count(*) FILTER ({cd.pis_valid('cpf')}) AS also_pis, count(*) FILTER ({cd.cnh_valid('cpf')}) AS also_cnh FROM p")
+_BOTH_SQL = f"q AS (SELECT cpf, {t._sum_sql('cpf', 10, '2 + (10 - i) % 8')} AS p1, {t._sum_sql('cpf', 9, '10 - i')} AS h1, {t._sum_sql('cpf', 9, 'i')} AS h2 FROM p WHERE replace(cpf, substr(cpf, 1, 1), '') <> '')"
+
+
+@query("multi_checksum_rate", f"""WITH {P}, {_BOTH_SQL} SELECT (SELECT count(*) FROM p) AS n, count(*) FILTER (({t._eleven('p1')}) = substr(cpf, 11, 1)::INT) AS also_pis,
+  count(*) FILTER (CASE WHEN h1 % 11 = 10 THEN 0 ELSE h1 % 11 END = substr(cpf, 10, 1)::INT AND (h2 % 11 - CASE WHEN h1 % 11 = 10 THEN 2 ELSE 0 END + 11) % 11 % 10 = substr(cpf, 11, 1)::INT) AS also_cnh FROM q""")
 def multi_checksum_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.people(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.expr(cd.pis_valid("cpf"))).alias("also_pis"), F.count_if(F.expr(cd.cnh_valid("cpf"))).alias("also_cnh"))
 
@@ -78,7 +82,7 @@ def scan_email_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_digit_runs", r"SELECT doc_id, length(run) AS size, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM documents) GROUP BY ALL")
 def scan_digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
-    runs = docs.select("doc_id", F.explode(text.matches(F.col("text"), "[0-9]+")).alias("m"))
+    runs = docs.select("doc_id", F.explode(text.matches("text", "[0-9]+")).alias("m"))
     return runs.groupBy("doc_id", (F.col("m.end") - F.col("m.start")).cast("bigint").alias("size")).agg(F.count("*").alias("n"))
 
 
@@ -240,7 +244,7 @@ _MARKED = "concat(" + ", ".join(p if e is None else f"'[{e}]'" for p, e in t.CON
 
 @query("redact_text", f"WITH {P} SELECT k AS doc_id, {_MARKED} AS rewritten FROM p")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.redact(recognizers.detect(t.contracts(spark, sf_dir))).select("doc_id", "rewritten")
+    return rewrite.redact(recognizers.detect(t.contracts(spark, sf_dir)), mark=rewrite.by_entity).select("doc_id", "rewritten")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +313,7 @@ def occurrences_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a term, whatever its white space, that active spans cover already and those that would be new."""
     at = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("Ana Souza e Ana  Souza com Ana\nSouza.").alias("text"))
-    hits = text.matches(F.col("text"), text.literal_pattern("Ana Souza"))
+    hits = text.matches("text", text.literal_pattern("Ana Souza"))
     active = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(4).alias("start"), F.lit(9).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     at = at.withColumn("hits", hits).withColumn("active", active)
     covered = F.size(F.filter("hits", lambda h: F.exists("active", lambda a: resolve.overlap(a, h)))).cast("bigint")

@@ -17,12 +17,36 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.with_identifiers(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")))
 
 
+def _sum_sql(x: str, n: int, weight: str) -> str:
+    """The sum over i = 1..n of the i-th digit of x by a weight, an expression of i."""
+    return f"list_sum([({weight}) * substr({x}, i, 1)::INT for i in range(1, {n + 1})])::BIGINT"
+
+
+def _eleven(t: str) -> str:
+    return f"CASE WHEN {t} % 11 IN (0, 1) THEN 0 ELSE 11 - {t} % 11 END"
+
+
 def people_sql() -> str:
-    """The same for the oracle."""
+    """The same people for the oracle, worked out on its own: weights are formulas of the place, digits come one after
+    another, and no text is shared with what the engine runs but the spread of the keys."""
+    key = lambda n, salt=0: f"lpad(((k * {7919 + 10 * salt} + {104729001 + 31 * salt}) % {10**n})::VARCHAR, {n}, '0')"
+    areas = "[" + ", ".join(f"'{a}'" for a in (11, 21, 31, 41, 51, 61, 71, 81, 85, 91, 47, 19)) + "]"
+    steps = [
+        {
+            "f": key(9), "j": f"{key(8, 1)} || '0001'", "p": key(10, 2), "h": key(9, 3), "t": f"{key(8, 4)} || lpad((1 + k % 28)::VARCHAR, 2, '0')", "s": f"(1 + k % 2) || {key(10, 5)}", "n": key(7, 6), "r": key(8, 7), "cep": key(8, 8),
+            "y": "(2015 + k % 12)::VARCHAR || substr('12458', (1 + k % 5)::INT, 1) || lpad((1 + k % 26)::VARCHAR, 2, '0') || lpad((k % 10000)::VARCHAR, 4, '0')",
+            "telefone": f"{areas}[(k % 12 + 1)::INT] || CASE WHEN k % 2 = 0 THEN '9' || {key(8, 9)} ELSE (2 + k % 4) || {key(7, 9)} END",
+        },
+        {"f1": _sum_sql("f", 9, "11 - i"), "j1": _sum_sql("j", 12, "2 + (12 - i) % 8"), "p1": _sum_sql("p", 10, "2 + (10 - i) % 8"), "h1": _sum_sql("h", 9, "10 - i"), "h2": _sum_sql("h", 9, "i"), "t1": _sum_sql("t", 8, "i + 1"), "s1": _sum_sql("s", 11, "16 - i"), "r1": _sum_sql("r", 8, "i + 1")},
+        {"fa": f"f || ({_eleven('f1')})", "ja": f"j || ({_eleven('j1')})", "pis_pasep": f"p || ({_eleven('p1')})", "ta": "t || CASE WHEN t1 % 11 = 10 THEN 0 ELSE t1 % 11 END", "hv": "h2 % 11 - CASE WHEN h1 % 11 = 10 THEN 2 ELSE 0 END", "rg": "r || CASE WHEN r1 % 11 = 10 THEN 'X' ELSE (r1 % 11)::VARCHAR END",
+         "cns": "s || CASE WHEN s1 % 11 = 1 THEN '001' || (11 - (s1 + 2) % 11) % 11 ELSE '000' || (11 - s1 % 11) % 11 END"},
+        {"f2": _sum_sql("fa", 10, "12 - i"), "j2": _sum_sql("ja", 13, "2 + (13 - i) % 8"), "t2": "7 * substr(ta, 9, 1)::INT + 8 * substr(ta, 10, 1)::INT + 9 * substr(ta, 11, 1)::INT", "hw": "CASE WHEN hv < 0 THEN hv + 11 ELSE hv END", "v": "98 - ((n || y || '00')::HUGEINT % 97)"},
+        {"cpf": f"fa || ({_eleven('f2')})", "cnpj": f"ja || ({_eleven('j2')})", "titulo_eleitor": "ta || CASE WHEN t2 % 11 = 10 THEN 0 ELSE t2 % 11 END", "cnh": "h || CASE WHEN h1 % 11 = 10 THEN 0 ELSE h1 % 11 END || CASE WHEN hw >= 10 THEN 0 ELSE hw END", "processo_cnj": "n || lpad(v::VARCHAR, 2, '0') || y"},
+    ]
     sql = "(SELECT c_custkey AS k FROM customer)"
-    for i, step in enumerate(g.steps("k", "hugeint")):
+    for i, step in enumerate(steps):
         sql = f"(SELECT s{i}.*, " + ", ".join(f"{e} AS {name}" for name, e in step.items()) + f" FROM {sql} s{i})"
-    return sql
+    return f"(SELECT k, {', '.join(e.lower() for e in g.MADE)} FROM {sql})"
 
 
 #: For each entity: texts before the value, how the value is written, the score it gets (None: not found), and

@@ -17,7 +17,7 @@ def detect_stream(docs: DataFrame) -> DataFrame:
 
 
 def redact_stream(docs: DataFrame) -> DataFrame:
-    return rewrite.redact(detect_stream(docs)).select("doc_id", "rewritten")
+    return rewrite.redact(detect_stream(docs), mark=rewrite.by_entity).select("doc_id", "rewritten")
 
 
 def login_windows(uses: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -25,6 +25,11 @@ TEXTS = [
     ("CEP", "CEP 01310-100", [(0.5, None)]),
     ("RG", "RG 12.345.678", []),
     ("ENDERECO", "residente na Rua das Flores, nº 123, centro", [(0.5, None)]),
+    ("ENDERECO", "residente na Rua das Flores,\u00a0123, centro", [(0.5, None)]),
+    ("CPF", "Pagamento a ٥٢٩.٩٨٢.٢٤٧-٢٥ hoje", [(1.0, None)]),
+    ("CPF", "Pagamento a ５２９９８２２４７２５ hoje", [(1.0, None)]),
+    ("CPF", "CPF\u00a052998224726", [(0.45, recognizers.INVALID)]),
+    ("CNH", "HABILITAC\u0327A\u0303O 96510020000", [(1.0, None)]),
 ]
 
 
@@ -77,3 +82,24 @@ def test_overlaps_go_by_precedence(spark):
 def test_vocabulary():
     assert len(dims.NAMES) == 16 and dims.WEIGHT["CPF"] == 16 and dims.WEIGHT["DATE_TIME"] == 1 and len(dims.REDACTED) == 13
     assert dims.fold("HABILITAÇÃO Nº") == "habilitacao no"
+
+
+def test_two_thousand_spans_in_a_text(spark):
+    text = "".join(f"CPF 529.982.247-25, CEP 01310-{i % 1000:03d}; " for i in range(1000))
+    found = recognizers.detect(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    spans = found.first()["spans"]
+    assert len(spans) == 2000 and all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+    assert {text[s["start"] : s["end"]] for s in spans if s["entity"] == "CPF"} == {"529.982.247-25"}
+
+
+def test_plan_of_detection_stays_small_and_filters_are_not_copied(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    found = recognizers.detect(docs).where("size(spans) > 0 AND doc_id > 0")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 15 and len(plan) < 50_000
+    assert plan.index("size(spans") < plan.index("inline") < plan.rindex("doc_id")
+
+
+def test_blank_texts_of_any_white_space(spark):
+    rows = [(1, "\n\t \u00a0"), (2, ""), (3, None)]
+    assert all(r["spans"] == [] for r in recognizers.detect(spark.createDataFrame(rows, "doc_id int, text string")).collect())

@@ -31,7 +31,8 @@ def test_random_tokens_and_unknown_entities(spark):
 
 
 def test_touching_edits_are_fine_overlapping_ones_are_not(spark):
-    assert rewrite.redact(frame(spark, "abcdef", [(0, 2, "CPF"), (2, 4, "CEP")])).first()["rewritten"] == "[CPF][CEP]ef"
+    assert rewrite.redact(frame(spark, "abcdef", [(0, 2, "CPF"), (2, 4, "CEP")])).first()["rewritten"] == "ef"
+    assert rewrite.redact(frame(spark, "abcdef", [(0, 2, "CPF"), (2, 4, "CEP")]), mark=rewrite.by_entity).first()["rewritten"] == "[CPF][CEP]ef"
     with pytest.raises(Exception, match="overlap"):
         rewrite.redact(frame(spark, "abcdef", [(0, 3, "CPF"), (2, 4, "CEP")])).collect()
     assert rewrite.redact(frame(spark, None, [])).first()["rewritten"] is None
