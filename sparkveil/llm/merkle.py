@@ -138,14 +138,14 @@ def audit(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", recor
     longest = entries.agg(F.max("seq")).first()[0] or 0
     wrong = stored(differing(trees(entries, files, longest + 1)), "differing").select("file_id", F.col("place").alias("seq"))
     left, right = (entries.where(F.col("replica") == i).drop("replica") for i in (0, 1))
-    intact = left.join(wrong, ["file_id", "seq"], "left_anti").select(F.col(f"`{key}`"), "file_id", "seq", "offset", "length", "digest", F.col("seq").alias("replica_seq"), F.col("offset").alias("replica_offset"), F.col("digest").alias("replica_digest"), F.lit("intact").alias("status"))
+    intact = left.join(wrong.hint("merge"), ["file_id", "seq"], "left_anti").select(F.col(f"`{key}`"), "file_id", "seq", "offset", "length", "digest", F.col("seq").alias("replica_seq"), F.col("offset").alias("replica_offset"), F.col("digest").alias("replica_digest"), F.lit("intact").alias("status"))
 
     def ordinal(side: DataFrame, by: list[str], name: str) -> DataFrame:
         return side.withColumn(name, F.row_number().over(Window.partitionBy("file_id", *by).orderBy("seq")))
 
-    mine, theirs = (ordinal(side.join(wrong, ["file_id", "seq"], "left_semi").withColumn("name", _name(key)), ["name", "digest"], "nth") for side in (left, right))
+    mine, theirs = (ordinal(side.join(wrong.hint("merge"), ["file_id", "seq"], "left_semi").withColumn("name", _name(key)), ["name", "digest"], "nth") for side in (left, right))
     theirs = theirs.select("file_id", "name", "digest", "nth", F.col(f"`{key}`").alias("other_key"), F.col("seq").alias("replica_seq"), F.col("offset").alias("replica_offset"), F.col("length").alias("other_length"))
-    same = stored(mine.join(theirs, ["file_id", "name", "digest", "nth"], "full"), "same")
+    same = stored(mine.join(theirs.hint("merge"), ["file_id", "name", "digest", "nth"], "full"), "same")
     moved = same.where("seq IS NOT NULL AND replica_seq IS NOT NULL").withColumn("replica_digest", F.col("digest")).withColumn("status", F.lit("moved"))
     one = ordinal(same.where("replica_seq IS NULL").select(F.col(f"`{key}`"), "file_id", "name", "seq", "offset", "length", "digest"), ["name"], "nth")
     two = same.where("seq IS NULL").select("file_id", "name", "other_key", "other_length", F.col("digest").alias("replica_digest"), "replica_seq", "replica_offset")
