@@ -192,30 +192,45 @@ def policy_span_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit for each line of an order, to the span that the order is: a profile, a class, another entity, or a
+    decision. A profile has a rule of its own for each third order's class."""
     at = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
     at = at.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("doc_id")), "o")
     names = F.array(*map(F.lit, dims.NAMES))
-    op = F.when(F.col("n") == 7, "profile").when(F.col("n") == 6, "class").otherwise("span")
-    return at.select("doc_id", (F.col("o") * 10 + F.col("n")).alias("version"), op.alias("op"), F.col("o").alias("span_id"), F.get(names, (F.col("o") % 16).cast("int")).alias("entity"), (F.col("n") % 2 == 0).alias("active"), F.when(F.col("o") % 2 == 0, "tarja").otherwise("manter").alias("operator"))
+    op = F.when(F.col("n") == 7, "profile").when(F.col("n") == 6, "class").when(F.col("n") == 5, "entity").otherwise("span")
+    own = F.get(names, (F.col("o") % 16).cast("int"))
+    entity = F.when(F.col("n") == 5, F.get(names, ((F.col("o") + 7) % 16).cast("int"))).otherwise(own)
+    rules = F.when((F.col("n") == 7) & (F.col("o") % 3 == 0), F.create_map(own, F.lit("pseudonimo")))
+    return at.select("doc_id", (F.col("o") * 10 + F.col("n")).alias("version"), op.alias("op"), F.col("o").alias("span_id"), entity.alias("entity"), (F.col("n") % 2 == 0).alias("active"), F.when(F.col("o") % 2 == 0, "tarja").otherwise("manter").alias("operator"), rules.alias("rules"))
 
 
 _EDITS_SQL = """edits AS (
-  SELECT o_custkey AS doc_id, l_orderkey * 10 + l_linenumber AS version, CASE l_linenumber WHEN 7 THEN 'profile' WHEN 6 THEN 'class' ELSE 'span' END AS op,
-         l_orderkey AS span_id, d.entity, l_linenumber % 2 = 0 AS active, CASE WHEN l_orderkey % 2 = 0 THEN 'tarja' ELSE 'manter' END AS operator
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(dims.NAMES)) + """) d(i, entity) ON l_orderkey % 16 = d.i)"""
-
-
-@query("edit_fold_state", f"""WITH {_SPANS_SQL}, {_EDITS_SQL},
-ranked AS (
-  SELECT s.doc_id, s.span_id, s.entity,
-    (SELECT struct_pack(v := version, a := active) FROM edits e WHERE e.op = 'span' AND e.doc_id = s.doc_id AND e.span_id = s.span_id ORDER BY version DESC LIMIT 1) AS own,
-    (SELECT struct_pack(v := version, o := operator) FROM edits e WHERE e.op = 'class' AND e.doc_id = s.doc_id AND e.entity = s.entity ORDER BY version DESC LIMIT 1) AS klass,
-    (SELECT struct_pack(v := version, o := operator) FROM edits e WHERE e.op = 'profile' AND e.doc_id = s.doc_id ORDER BY version DESC LIMIT 1) AS base,
-    (SELECT max(version) FROM edits e WHERE e.doc_id = s.doc_id) AS version
-  FROM spans s)
-SELECT doc_id, span_id, entity, operator, active, coalesce(active, operator IN ('tarja', 'pseudonimo')) AS removed, coalesce(version, 0) AS version FROM (
-  SELECT *, CASE WHEN coalesce(klass.v, 0) >= coalesce(base.v, 0) THEN coalesce(klass.o, base.o, 'manter') ELSE base.o END AS operator,
-         CASE WHEN own.v > greatest(coalesce(klass.v, 0), coalesce(base.v, 0)) THEN own.a END AS active FROM ranked)""")
+  SELECT o_custkey AS doc_id, l_orderkey * 10 + l_linenumber AS version, CASE l_linenumber WHEN 7 THEN 'profile' WHEN 6 THEN 'class' WHEN 5 THEN 'entity' ELSE 'span' END AS op,
+         l_orderkey AS span_id, CASE WHEN l_linenumber = 5 THEN n.entity ELSE d.entity END AS entity, l_linenumber % 2 = 0 AS active, CASE WHEN l_orderkey % 2 = 0 THEN 'tarja' ELSE 'manter' END AS operator,
+         CASE WHEN l_linenumber = 7 AND l_orderkey % 3 = 0 THEN MAP {d.entity: 'pseudonimo'} ELSE MAP {'-': '-'} END AS rules
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(dims.NAMES)) + """) d(i, entity) ON l_orderkey % 16 = d.i
+  JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(dims.NAMES)) + """) n(i, entity) ON (l_orderkey + 7) % 16 = n.i)"""
+
+
+@query("edit_fold_state", f"""WITH RECURSIVE {_SPANS_SQL}, {_EDITS_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version) AS i FROM edits),
+run AS (
+  SELECT doc_id, span_id, 0::BIGINT AS i, entity, NULL::BOOLEAN AS active, 'manter' AS fallback, MAP {{'-': '-'}} AS rules FROM spans
+  UNION ALL
+  SELECT doc_id, span_id, i, CASE WHEN op = 'entity' AND mine THEN e_entity ELSE entity END,
+    CASE WHEN op = 'span' AND mine THEN e_active
+         WHEN op = 'entity' AND mine AND coalesce(active, old_op <> 'manter') <> coalesce(active, moved_op <> 'manter') THEN old_op <> 'manter'
+         WHEN op = 'class' AND e_entity = entity THEN NULL
+         WHEN op = 'profile' AND old_op <> new_op THEN NULL ELSE active END,
+    CASE WHEN op = 'profile' THEN operator ELSE fallback END,
+    CASE WHEN op = 'profile' THEN e_rules WHEN op = 'class' THEN map_concat(rules, MAP {{e_entity: operator}}) ELSE rules END
+  FROM (
+    SELECT r.doc_id, r.span_id, e.i, r.entity, r.active, r.fallback, r.rules, e.op, e.span_id = r.span_id AS mine, e.entity AS e_entity, e.active AS e_active, e.operator, e.rules AS e_rules,
+           coalesce(r.rules[r.entity], r.fallback) AS old_op, coalesce(e.rules[r.entity], e.operator) AS new_op, coalesce(r.rules[e.entity], r.fallback) AS moved_op
+    FROM run r JOIN numbered e ON e.doc_id = r.doc_id AND e.i = r.i + 1)),
+last AS (SELECT doc_id, span_id, arg_max(struct_pack(entity, active, op := coalesce(rules[entity], fallback)), i) AS s FROM run GROUP BY 1, 2),
+versions AS (SELECT doc_id, max(version) AS version FROM edits GROUP BY 1)
+SELECT l.doc_id, l.span_id, s.entity, s.op AS operator, s.active, coalesce(s.active, s.op IN ('tarja', 'pseudonimo')) AS removed, coalesce(v.version, 0) AS version FROM last l LEFT JOIN versions v USING (doc_id)""")
 def edit_fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.fold_edits(_spans_table(spark, sf_dir), _edits_table(spark, sf_dir)).select("doc_id", "span_id", "entity", "operator", "active", "removed", "version")
 
@@ -530,12 +545,26 @@ def failed_login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.lockouts(_failures(spark, sf_dir)).select("event_id", "recent", "blocked")
 
 
-@query("login_expiry", """WITH a AS (SELECT user_id AS account, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events),
-b AS (SELECT *, sum(fresh) OVER (PARTITION BY account ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM a),
-c AS (SELECT *, floor((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY account, run))) / 43200000000) AS part FROM b)
-SELECT account, min(ts) AS started, max(ts) AS last_used, count(*) AS uses FROM c GROUP BY account, run, part""")
+@query("login_expiry", """WITH RECURSIVE uses AS (
+  SELECT user_id AS account, time_bucket(INTERVAL 10 MINUTES, ts) AS ts FROM events
+  UNION ALL SELECT -1 - r_regionkey, TIMESTAMP '2026-01-01' + INTERVAL 1 MINUTE * (n * (20 + r_regionkey)) FROM region, range(0, 121) t(n)),
+numbered AS (SELECT account, ts, row_number() OVER (PARTITION BY account ORDER BY ts) AS i FROM uses),
+run AS (
+  SELECT account, i, ts, ts AS started, 1 AS login FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.account, n.i, n.ts, CASE WHEN n.ts - r.ts >= INTERVAL 30 MINUTES OR n.ts - r.started >= INTERVAL 12 HOURS THEN n.ts ELSE r.started END,
+         r.login + CASE WHEN n.ts - r.ts >= INTERVAL 30 MINUTES OR n.ts - r.started >= INTERVAL 12 HOURS THEN 1 ELSE 0 END
+  FROM run r JOIN numbered n ON n.account = r.account AND n.i = r.i + 1)
+SELECT account, started, max(ts) AS last_used, count(*) AS uses FROM run GROUP BY account, started, login""")
 def login_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.logins(table(spark, sf_dir, "events").select(F.col("user_id").alias("account"), "ts")).select("account", "started", "last_used", "uses")
+    """Uses at ten-minute steps, so that pauses of exactly half an hour are among them; and accounts that are used
+    for more than twelve hours without a pause."""
+    events = table(spark, sf_dir, "events")
+    slot = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000) * 600_000_000)
+    steady = table(spark, sf_dir, "region").select((-1 - F.col("r_regionkey")).alias("account"), "r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("n"))
+    since = F.timestamp_micros(F.unix_micros(F.lit("2026-01-01 00:00:00+00:00").cast("timestamp")) + F.col("n").cast("bigint") * (20 + F.col("r_regionkey")) * 60_000_000)
+    uses = events.select(F.col("user_id").cast("bigint").alias("account"), slot.alias("ts")).unionByName(steady.select(F.col("account").cast("bigint").alias("account"), since.alias("ts")))
+    return session.logins(uses).select("account", "started", "last_used", "uses")
 
 
 @query("ttl_expiry", "SELECT event_id FROM events WHERE ts + INTERVAL 2 HOURS < (SELECT max(ts) FROM events)")

@@ -44,3 +44,41 @@ def test_lockout_and_logins(spark):
     out = session.lockouts(spark.createDataFrame(events, "account int, ts timestamp, ok boolean")).orderBy("ts").collect()
     assert [r["blocked"] for r in out] == [False] * 4 + [True, True, False]
     assert [r["recent"] for r in out][-1] == 1
+
+
+EDIT = "doc_id int, version int, op string, span_id string, entity string, active boolean, operator string, rules map<string,string>, value string"
+
+
+def folded(spark, spans, edits, default="manter"):
+    rows = spark.createDataFrame(spans, "doc_id int, span_id string, entity string, origin string, value string, added int")
+    return {r["span_id"]: (r["entity"], r["active"], r["operator"], r["removed"]) for r in session.fold_edits(rows, spark.createDataFrame(edits, EDIT), default).collect()}
+
+
+def test_another_class_does_not_undo_a_removal(spark):
+    spans = [(1, "a", "CPF", None, None, None), (1, "b", "ORGANIZATION", None, None, None)]
+    edits = [(1, 1, "profile", None, None, None, "manter", {"CPF": "tarja"}, None), (1, 2, "entity", "a", "ORGANIZATION", None, None, None, None), (1, 3, "entity", "b", "CPF", None, None, None, None)]
+    assert folded(spark, spans, edits) == {"a": ("ORGANIZATION", True, "manter", True), "b": ("CPF", False, "tarja", False)}
+
+
+def test_a_profile_clears_what_its_change_concerns(spark):
+    spans = [(1, "a", "CPF", None, None, None), (1, "b", "CEP", None, None, None), (1, "m", "MANUAL", "usuario", None, None)]
+    decide = [(1, v, "span", i, None, False, None, None, None) for v, i in ((2, "a"), (3, "b"), (4, "m"))]
+    edits = [(1, 1, "profile", None, None, None, "tarja", None, None), *decide, (1, 5, "profile", None, None, None, "tarja", {"CEP": "pseudonimo"}, None)]
+    assert folded(spark, spans, edits) == {"a": ("CPF", False, "tarja", False), "b": ("CEP", None, "pseudonimo", True), "m": ("MANUAL", False, "tarja", False)}
+    edits = [(1, 1, "class", None, "CPF", None, "tarja", None, None), *decide, (1, 6, "class", None, "CPF", None, "tarja", None, None)]
+    assert folded(spark, spans, edits)["a"] == ("CPF", None, "tarja", True)
+
+
+def test_spans_marked_by_hand(spark):
+    spans = [(1, "m", "MANUAL", "usuario", "x", 5), (1, "n", "MANUAL", "usuario", "x", 6), (1, "a", "CPF", None, " 1  2", None), (1, "b", "CPF", None, "1 2 ", None), (2, "o", "MANUAL", "usuario", "x", 1)]
+    edits = [(1, 7, "manual", None, None, False, None, None, None), (1, 8, "remove", "n", None, None, None, None, None), (1, 9, "remove", "a", None, None, None, None, None), (1, 10, "equals", None, None, True, None, None, "1 2"), (2, 3, "remove_manual", None, None, None, None, None, None)]
+    assert folded(spark, spans, edits) == {"m": ("MANUAL", False, "tarja", False), "a": ("CPF", True, "manter", True), "b": ("CPF", True, "manter", True)}
+    assert set(folded(spark, spans[:1], [(1, 4, "remove_manual", None, None, None, None, None, None)])) == {"m"}
+
+
+def test_pauses_and_the_end_of_a_login(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    uses = spark.createDataFrame([(a, t0 + dt.timedelta(minutes=m)) for a, ms in ((1, [0, 30, 59]), (2, [*range(0, 720, 20), 715, 744, *range(764, 1460, 20)])) for m in ms], "account int, ts timestamp")
+    out = session.logins(uses).orderBy("account", "login").collect()
+    minutes = lambda t: int((t - t0).total_seconds() // 60)
+    assert [(r["account"], minutes(r["started"]), minutes(r["last_used"])) for r in out] == [(1, 0, 0), (1, 30, 59), (2, 0, 715), (2, 744, 1444)]
