@@ -7,6 +7,8 @@ every step groups or joins on doc_id, and labels are pre-aggregated before they
 from __future__ import annotations
 
 import difflib
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,19 +106,35 @@ def align(docs: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, label, value, start, end, defect): gold offsets of a source text carried over to an extracted one.
 
     docs has (doc_id, source_text, text). Where the longest matching blocks put a value it is tried first, then the
-    200 characters around, then the whole text; what is nowhere is a defect. One document is one group.
+    200 characters around, then the whole text; what is nowhere is a defect. One document is one group. Lines are
+    matched first, which takes time in proportion to their number in a text that was hardly changed; characters are
+    matched only within stretches of lines that differ.
     """
 
+    def matching(source: str, target: str) -> Iterator[tuple[int, int, int]]:
+        a, b = source.splitlines(keepends=True), target.splitlines(keepends=True)
+        at_a, at_b = [0], [0]
+        for line in a:
+            at_a.append(at_a[-1] + len(line))
+        for line in b:
+            at_b.append(at_b[-1] + len(line))
+        for tag, i, j, x, y in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if tag == "equal":
+                yield at_a[i], at_b[x], at_a[j] - at_a[i]
+            elif tag == "replace":
+                for block in difflib.SequenceMatcher(None, source[at_a[i] : at_a[j]], target[at_b[x] : at_b[y]], autojunk=False).get_matching_blocks():
+                    yield at_a[i] + block.a, at_b[x] + block.b, block.size
+
     def place(key, docs_pdf, gold_pdf):
         import pandas as pd
 
         rows = []
         if len(docs_pdf):
             source, target = docs_pdf["source_text"].iloc[0] or "", docs_pdf["text"].iloc[0] or ""
-            blocks = difflib.SequenceMatcher(None, source, target, autojunk=False).get_matching_blocks()
+            blocks = list(matching(source, target))
             taken = set()
             for g in gold_pdf.sort_values(["start", "end"]).itertuples():
-                guess = next((b.b + g.start - b.a for b in blocks if b.a <= g.start < b.a + b.size), None)
+                guess = next((b + g.start - a for a, b, size in blocks if a <= g.start < a + size), None)
                 at = guess if guess is not None and target[guess : guess + len(g.value)] == g.value and guess not in taken else -1
                 if at < 0 and guess is not None:
                     at = next((i for i in range(max(0, guess - 200), guess + 201) if target.startswith(g.value, i) and i not in taken), -1)
@@ -146,3 +164,87 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
 def search(rows: DataFrame, column: str, query: str) -> DataFrame:
     """Rows whose column contains a query, whatever the case and accents."""
     return rows.where(F.contains(text.folded(F.col(column)), text.folded(F.lit(query))))
+
+
+# The targets of strict F1 for structured identifiers and of relaxed F1 for people, and forms of address.
+STRICT_TARGET, PERSON_TARGET = 0.95, 0.80
+TITLES = ("sr", "sra", "dr", "dra", "srta", "exmo", "exma")
+
+
+def gate(value: Column, target: float) -> Column:
+    """A value with a mark for whether it reaches its target."""
+    return F.format_string("%.3f %s (alvo %.2f)", value.cast("double"), F.when(value >= target, "✅").otherwise("❌"), F.lit(float(target)))
+
+
+def throughput(runs: DataFrame, by: str = "config") -> DataFrame:
+    """runs (config, doc_id, seconds, pages): (config, seconds_per_page, seconds_per_doc)."""
+    at = runs.groupBy(by).agg(F.sum("seconds").alias("s"), F.sum("pages").alias("p"), F.countDistinct("doc_id").alias("d"))
+    return at.select(by, ratio(F.col("s"), F.col("p")).alias("seconds_per_page"), ratio(F.col("s"), F.col("d")).alias("seconds_per_doc"))
+
+
+def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """What `make` returns, worked out to its last row, and the seconds that took."""
+    began = time.perf_counter()
+    out = make()
+    out.write.format("noop").mode("overwrite").save()
+    return out, time.perf_counter() - began
+
+
+def post_redaction(checks: DataFrame) -> DataFrame:
+    """checks (config, doc_id, ok, residue_ok, without_box): a row a configuration with its documents, those without a
+    leak, those without residue, spans without a box, and whether all documents are free of leaks."""
+    at = checks.groupBy("config").agg(F.count("*").alias("docs"), F.count_if("ok").alias("clean"), F.count_if(F.coalesce("residue_ok", F.lit(False))).alias("without_residue"), F.sum("without_box").alias("without_box"))
+    return at.withColumn("passes", F.col("clean") == F.col("docs"))
+
+
+def best_config(scored: DataFrame, label: str = "PERSON") -> DataFrame:
+    """(config, f1) of the configuration with the highest F1 of a label; of equal ones the first by name. A
+    configuration without the label has 0."""
+    at = scored.groupBy("config").agg(F.coalesce(F.max(F.when(F.col("label") == label, F.col("f1"))), F.lit(0.0)).alias("f1"))
+    return at.orderBy(F.desc("f1"), "config").limit(1)
+
+
+def remainder(gold: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """gold with `rest`: its characters that no span of the document covers, joined and stripped."""
+    ranges = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("_ranges"))
+    at = gold.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id").join(ranges, "doc_id", "left")
+    piece = "substring(_text, a.at + 1, greatest(least(r.start, cast(end as int)) - a.at, 0))"
+    fold = f"aggregate(coalesce(_ranges, cast(array() as array<struct<start:int,end:int>>)), struct(cast(start as int) as at, '' as rest), (a, r) -> struct(greatest(a.at, least(r.end, cast(end as int))) as at, concat(a.rest, {piece}) as rest), a -> concat(a.rest, substring(_text, a.at + 1, greatest(cast(end as int) - a.at, 0))))"
+    return text.with_bound(at, {"rest": text.stripped(F.expr(fold))}).drop("_text", "_ranges")
+
+
+def residue(rests: DataFrame, k: int = 15) -> DataFrame:
+    """(rest, n, title) of the most frequent remainders that are not empty; `title` marks forms of address."""
+    at = rests.where("rest <> ''").groupBy("rest").agg(F.count("*").alias("n"))
+    return at.withColumn("title", is_title(F.col("rest"))).orderBy(F.desc("n"), "rest").limit(k)
+
+
+def is_title(rest: Column) -> Column:
+    return F.lower(F.regexp_replace(rest, r"\.+$", "")).isin(*TITLES)
+
+
+def title_share(rests: DataFrame) -> DataFrame:
+    """(cases, titles, share) of remainders: how many say no more than a form of address."""
+    at = rests.where("rest <> ''").agg(F.count("*").alias("cases"), F.count_if(is_title(F.col("rest"))).alias("titles"))
+    return at.withColumn("share", ratio(F.col("titles"), F.col("cases")))
+
+
+def leaking(classes: DataFrame) -> DataFrame:
+    """(doc_id, leaks) of documents with gold spans that nothing covers."""
+    return classes.where(F.col("class").isin("wrong_label", "not_found")).groupBy("doc_id").agg(F.count("*").alias("leaks"))
+
+
+def by_support(scored: DataFrame) -> DataFrame:
+    """A table of scores in order: the label with the most gold spans first."""
+    return scored.orderBy(F.desc("support"), "label")
+
+
+def search_groups(groups: DataFrame, column: str, query: str, k: int = 6) -> DataFrame:
+    """The first k groups, in reading order (first), whose value contains a query."""
+    return search(groups, column, query).orderBy("first", column).limit(k)
+
+
+def corpus_summary(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """docs (doc_id, genre), gold (doc_id, ...): (genre, docs, entities)."""
+    n = gold.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.join(n, "doc_id", "left").groupBy("genre").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"))

@@ -92,3 +92,64 @@ def token_fits(token: Column, width: Column, height: Column) -> Column:
     table = F.create_map(*(F.lit(v) for pair in widths.items() for v in pair))
     total = F.aggregate(F.split(token, ""), F.lit(0), lambda acc, c: acc + F.coalesce(F.element_at(table, c), F.lit(0)))
     return total / 1000 * 0.728 * height <= width * 0.98
+
+
+def prose(body: Column, width: int = 92) -> Column:
+    """Array of lines: words with single spaces, as many a line as fit; a longer word is cut."""
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / width)), lambda i: F.substring(w, (i * width + 1).cast("int"), F.lit(width)))
+    words_ = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")
+    return wrap(F.flatten(F.transform(words_, cut)), width)
+
+
+def paginate(lines: DataFrame, top: float, bottom: float) -> DataFrame:
+    """lines (doc_id, seq, height): add page and y. A line is set at y, which then moves on by its height; where y is
+    past the bottom before a line, a page starts. Lines of a document are folded in their order."""
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("height").cast("double").alias("height")))).alias("_lines"))
+    seq = dict(lines.dtypes)["seq"]
+    out = f"array<struct<seq:{seq},page:int,y:double>>"
+    turned = f"if(a.y > {bottom}d, struct(a.page + 1 as page, {top}d as y), struct(a.page as page, a.y as y))"
+    step = f"element_at(transform(array({turned}), p -> struct(p.page as page, p.y + l.height as y, array_append(a.out, struct(l.seq as seq, p.page as page, p.y as y)) as out)), 1)"
+    return rows.select("doc_id", F.inline(F.expr(f"aggregate(_lines, struct(1 as page, {top}d as y, cast(array() as {out}) as out), (a, l) -> {step}, a -> a.out)")))
+
+
+def segments(content: Column) -> Column:
+    """array<struct<text, label>> of a line given as JSON: a text, a pair of text and label, or a list of texts and pairs."""
+    item = lambda x: F.when(x.startswith("["), F.struct(F.get(F.from_json(x, "array<string>"), F.lit(0)).alias("text"), F.get(F.from_json(x, "array<string>"), F.lit(1)).alias("label"))).otherwise(F.struct(x.alias("text"), F.lit(None).cast("string").alias("label")))
+    is_pair = content.rlike(r'^\s*\[\s*"(?:[^"\\]|\\.)*"\s*,\s*(?:"[A-Z_]+"|null)\s*\]\s*$')
+    alone = F.get(F.from_json(F.concat(F.lit("["), content, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(is_pair, F.array(item(content))).when(content.rlike(r"^\s*\["), F.transform(F.from_json(content, "array<string>"), item)).otherwise(F.array(F.struct(alone.alias("text"), F.lit(None).cast("string").alias("label"))))
+
+
+def windows(body: str, size: int = 1200, overlap_: int = 200) -> Column:
+    """array<struct<start, end>> of windows for a model over a column of texts: each ends after the last space of its
+    second half, if it has one, and the next starts `overlap_` characters before its end."""
+    half = size // 2
+    end = f"least(a.at + {size}, length({body}))"
+    back = f"locate(' ', reverse(substr({body}, a.at + {half} + 1, {size - half})))"
+    cut = f"if({end} = length({body}) or {back} = 0, {end}, a.at + {size} - {back} + 1)"
+    step = f"if(a.at < 0, a, element_at(transform(array({cut}), e -> struct(if(e >= length({body}), -1, greatest(e - {overlap_}, a.at + 1)) as at, array_append(a.out, struct(a.at as start, e as end)) as out)), 1))"
+    zero = "struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as out)"
+    return F.expr(f"if(length({body}) > 0, aggregate(sequence(0, cast(length({body}) / {half - overlap_} as int)), {zero}, (a, i) -> {step}, a -> a.out), cast(array() as array<struct<start:int,end:int>>))")
+
+
+def text_map(runs: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, ch, x0, y0, x1, y1) of runs (doc_id, page, block, line, seq, x0, y0, x1, y1, content): a space
+    goes between runs of a line that stand apart, a line feed after each line; such characters have no box. A run's
+    characters share its box evenly. Runs without content are left out."""
+    place = ["page", "block", "line", "seq"]
+    key = F.struct(*place[:3])
+    at = runs.where(F.length("content") > 0).withColumn("_line", key)
+    row = Window.partitionBy("doc_id", "_line").orderBy("seq")
+    gap = F.coalesce((F.col("x0") - F.lag("x1").over(row) > SPACE_GAP) & ~F.lag("content").over(row).rlike(r"\s$"), F.lit(False))
+    last = F.lead("seq").over(row).isNull()
+    at = at.withColumn("_before", gap.cast("int")).withColumn("_after", last.cast("int"))
+    order = Window.partitionBy("doc_id").orderBy(*place)
+    end = F.sum(F.length("content") + F.col("_before") + F.col("_after")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    at = at.withColumn("_start", (end - F.length("content") - F.col("_before") - F.col("_after")).cast("int"))
+    whole = F.concat(F.repeat(F.lit(" "), F.col("_before")), F.col("content"), F.repeat(F.lit("\n"), F.col("_after")))
+    chars = at.select("doc_id", "page", "_start", "_before", "x0", "y0", "x1", "y1", F.length("content").alias("_n"), F.posexplode(F.split(whole, "")).alias("_i", "ch"))
+    i = F.col("_i") - F.col("_before")
+    boxed = (i >= 0) & (i < F.col("_n"))
+    step = (F.col("x1") - F.col("x0")) / F.col("_n")
+    box = {"x0": F.col("x0") + i * step, "y0": F.col("y0"), "x1": F.col("x0") + (i + 1) * step, "y1": F.col("y1")}
+    return chars.select("doc_id", "page", (F.col("_start") + F.col("_i")).alias("pos"), "ch", *(F.when(boxed, c).alias(n) for n, c in box.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkveil.functions import dims
@@ -91,3 +91,9 @@ def inventory(spans: DataFrame) -> DataFrame:
     """(entity, n) of all entities, those without spans too. 16 rows."""
     dim = dims.entity_table(spans.sparkSession).select("entity")
     return dim.join(spans.groupBy("entity").agg(F.count("*").alias("n")), "entity", "left").select("entity", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def ordered_inventory(spans: DataFrame) -> DataFrame:
+    """The inventory with each entity's `place`: those found first, the most frequent first, then the others by name."""
+    order = Window.orderBy(F.col("n") == 0, F.desc("n"), "entity")  # 16 rows
+    return inventory(spans).withColumn("place", F.row_number().over(order))

@@ -109,3 +109,22 @@ def trim_junk(df: DataFrame, *, column: str = "text") -> DataFrame:
     value = F.expr(f"substring({column}, start + 1, end - start)")
     start, end = text.trim_edges(F.col("start"), F.col("end"), value)
     return df.withColumns({"start": start, "end": end}).where("end > start")
+
+
+# Entities that the tags of models stand for; others are no personal data and go.
+LABELS = {"PESSOA": "PERSON", "PER": "PERSON", "ORGANIZACAO": "ORGANIZATION", "ORG": "ORGANIZATION", "LOCAL": "LOCATION", "LOC": "LOCATION", "TEMPO": "DATE_TIME"}
+
+
+def map_labels(spans: DataFrame, labels: dict[str, str] = LABELS, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Spans (entity, ...) of a model with its tags as entities; tags without one, and entities not wanted, go."""
+    table = F.create_map(*(F.lit(v) for pair in labels.items() for v in pair))
+    at = spans.withColumn("entity", F.element_at(table, F.col("entity"))).where("entity IS NOT NULL")
+    return at.where(F.col("entity").isin(*wanted)) if wanted is not None else at
+
+
+def model_spans(tagged: DataFrame, *, column: str = "text", least: float = 0.5) -> DataFrame:
+    """What a model found, rows (doc_id, text, start, end, entity, score), as spans: labels mapped, weak ones dropped,
+    fragments joined, line ends cut, edges trimmed, those within others absorbed."""
+    known = map_labels(tagged.where(F.col("score") >= least))
+    whole = merge_fragments(known.select("doc_id", "entity", "start", "end", "score")).join(tagged.select("doc_id", column).distinct(), "doc_id")
+    return absorb_contained(trim_junk(split_lines(whole, column=column), column=column).select("doc_id", "entity", "start", "end", "score"))

@@ -65,25 +65,98 @@ def neighbours(spans: DataFrame, key: str = "span_id", order: str = "start") ->
     return spans.withColumn("next_id", F.coalesce(F.lead(key).over(w), F.first(key).over(whole))).withColumn("previous_id", F.coalesce(F.lag(key).over(w), F.last(key).over(whole)))
 
 
-def mark_term(docs: DataFrame, term: str, *, column: str = "text", spans: str = "spans") -> DataFrame:
-    """(doc_id, start, end, value): places of a term, whatever its white space, that no active span overlaps. `spans`
-    is an array of the active ones."""
-    hits = text.matches(f"`{column}`", text.literal_pattern(term))
-    at = docs.withColumn("_hits", hits)
+def mark_term(docs: DataFrame, term: str, *, column: str = "text", spans: str = "spans", regions: str | None = None) -> DataFrame:
+    """(doc_id, start, end, value): places of a term of two characters or more, whatever its white space, that no active
+    span overlaps. `spans` is an array of the active ones; of `regions`, an array of the stretches of text that can be
+    seen on a page, a place must meet one."""
+    term = term.strip()
+    if len(term) < 2:
+        raise ValueError("a term has two characters at least")
+    at = docs.withColumn("_hits", text.matches(f"`{column}`", text.literal_pattern(term)))
     free = F.filter("_hits", lambda h: ~F.exists(spans, lambda s: (s["start"] < h["end"]) & (h["start"] < s["end"])))
+    if regions:
+        free = F.filter(free, lambda h: F.exists(regions, lambda r: (r["start"] < h["end"]) & (h["start"] < r["end"])))
     return at.select("doc_id", F.inline(free))
 
 
+def preview_term(docs: DataFrame, term: str, *, column: str = "text", spans: str = "spans", regions: str = "regions", pages: str = "pages") -> DataFrame:
+    """(doc_id, new, covered, without_region, on_pages, in_text, left_over): what marking a term would do. `regions` are
+    (start, end, page) of what can be seen, `pages` the texts of the pages, in which a verification would look for the
+    term in all its forms; left_over are finds of it that marking does not reach."""
+    from sparkveil.operators import verify
+
+    term = term.strip()
+    if len(term) < 2:
+        raise ValueError("a term has two characters at least")
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    at = docs.withColumn("_hits", text.matches(f"`{column}`", text.literal_pattern(term)))
+    at = at.withColumn("_free", F.filter("_hits", lambda h: ~F.exists(spans, lambda s: meets(s, h))))
+    at = at.withColumn("_seen", F.filter("_free", lambda h: F.exists(regions, lambda r: meets(r, h))))
+    on_pages = F.array_sort(F.array_distinct(F.transform(F.filter(regions, lambda r: F.exists("_seen", lambda h: meets(r, h))), lambda r: r["page"])))
+    in_text = F.aggregate(F.transform(pages, lambda p: verify.occurrences(F.lit(term), p)), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    size = lambda c: F.size(c).cast("bigint")
+    out = at.select("doc_id", size("_seen").alias("new"), (size("_hits") - size("_free")).alias("covered"), (size("_free") - size("_seen")).alias("without_region"), on_pages.alias("on_pages"), in_text.alias("in_text"))
+    return out.withColumn("left_over", F.col("in_text") - F.col("new") - F.col("covered"))
+
+
 def repaired(body: Column, start: Column, end: Column, claimed: Column, reach: int = 500) -> Column:
-    """struct(start, end) of a selection that claims a text: as given if the text is there, else its first place
-    within reach, without white space at its edges; null if there is none."""
+    """struct(start, end) of a selection that claims a text: as given if the text is there, else its first place within
+    reach, without white space at its edges; null if there is none. White space counts as equal, of any kind and length."""
+    squeeze = lambda c: text.collapsed(c)
+    wanted = squeeze(claimed)
     here = F.substring(body, start + 1, end - start)
     low = F.greatest(start - reach, F.lit(0))
-    window = F.substring(body, low + 1, F.lit(2 * reach) + F.length(claimed))
-    found = F.position(claimed, window)
-    left, size = F.length(claimed) - F.length(F.ltrim(claimed)), F.length(F.trim(claimed))
-    at = F.when(here == claimed, start).when(found > 0, low + found - 1)
-    return F.when(at.isNotNull() & (size > 0), F.struct((at + left).cast("int").alias("start"), (at + left + size).cast("int").alias("end")))
+    window = F.substring(body, low + 1, F.least(end + reach, F.length(body)) - low)
+    quoted = F.concat(F.lit(r"(?U)\Q"), F.replace(wanted, F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
+    # The first match is the leftmost place of its own text.
+    found = F.coalesce(F.regexp_substr(window, quoted), F.lit(""))
+    there = F.length(found) > 0
+    left = F.length(here) - F.length(F.regexp_replace(here, r"(?U)^\s+", ""))
+    right = F.length(here) - F.length(F.regexp_replace(here, r"(?U)\s+$", ""))
+    at = low + F.position(found, window) - 1
+    own = F.struct((start + left).cast("int").alias("start"), (end - right).cast("int").alias("end"))
+    other = F.struct(at.cast("int").alias("start"), (at + F.length(found)).cast("int").alias("end"))
+    return F.when(wanted == "", F.lit(None)).when(squeeze(here) == wanted, own).when(there, other)
+
+
+def added_interval(body: Column, start: Column, end: Column, claimed: Column, spans: Column) -> Column:
+    """struct(start, end, problem) of a stretch marked by hand: its repaired bounds, or why it is refused: `bounds`
+    beyond the text, `text` not found, `overlap` with one of the active spans."""
+    at = repaired(body, start, end, claimed)
+    taken = lambda r: F.exists(spans, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
+    problem = lambda r: F.when((start < 0) | (end <= start) | (end > F.length(body)), "bounds").when(r.isNull(), "text").when(taken(r), "overlap")
+    return text.bind(at, lambda r: F.struct(F.when(problem(r).isNull(), r["start"]).alias("start"), F.when(problem(r).isNull(), r["end"]).alias("end"), problem(r).alias("problem")))
+
+
+def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with `name`: documento-01 and so on by key, which says nothing of a document. For the few of a report."""
+    return docs.withColumn("name", F.format_string("documento-%02d", F.row_number().over(Window.orderBy(key))))
+
+
+def with_ids(spans: DataFrame, order: str = "start") -> DataFrame:
+    """spans with `id`: s1, s2 and so on in a document, by position."""
+    return spans.withColumn("id", F.concat(F.lit("s"), F.row_number().over(Window.partitionBy("doc_id").orderBy(order)).cast("string")))
+
+
+def authors(spans: DataFrame) -> DataFrame:
+    """(doc_id, author): the first person of each document."""
+    return spans.where("entity = 'PERSON'").groupBy("doc_id").agg(F.min_by("value", "start").alias("author"))
+
+
+def br_date(day: Column) -> Column:
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def token_plan(spans: DataFrame) -> DataFrame:
+    """spans (doc_id, start, end, entity, score, token, width, height) that are to get a token: (doc_id, tokens, lost,
+    without_room): those that get theirs, those that lose to an overlapping span, and those whose box has no room."""
+    from sparkveil.operators import layout, resolve
+
+    arrays = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "entity", "score", F.lit(None).cast("string").alias("note"))).alias("_spans"))
+    kept = resolve.resolve(arrays, spans="_spans").select("doc_id", F.size("_spans").cast("bigint").alias("_kept"), F.inline("_spans")).select("doc_id", "_kept", "start", "end", "entity")
+    at = spans.join(kept, ["doc_id", "start", "end", "entity"], "left").withColumn("_fits", layout.token_fits(F.col("token"), F.col("width"), F.col("height")))
+    won = F.col("_kept").isNotNull()
+    return at.groupBy("doc_id").agg(F.count_if(won & F.col("_fits")).alias("tokens"), F.count_if(~won).alias("lost"), F.count_if(won & ~F.col("_fits")).alias("without_room"))
 
 
 def document_facts(pages: DataFrame) -> DataFrame:
@@ -96,10 +169,16 @@ def wanted_tokens_without_room(spans: DataFrame) -> DataFrame:
     return spans.where("removed AND operator = 'pseudonimo' AND NOT fits").groupBy("entity").agg(F.count("*").alias("n"))
 
 
-def span_view(spans: DataFrame) -> DataFrame:
-    """Spans as shown: score to three places, whether removed, and the operator in force."""
+def span_view(spans: DataFrame, boxes: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Spans as shown: score to three places, whether removed, and the operator in force; with boxes (doc_id, start,
+    end, page, x0, y0, x1, y1) their `rects`, with tokens (doc_id, start, end, token) their `token`."""
     removed = policy.will_be_removed(F.col("active"), F.col("operator"))
-    return spans.withColumn("score", F.round("score", 3)).withColumn("removed", removed)
+    at = spans.withColumn("score", F.round("score", 3)).withColumn("removed", removed)
+    keys = ["doc_id", "start", "end"]
+    if boxes is not None:
+        rects = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "x1", "y1"))).alias("rects"))
+        at = at.join(rects, keys, "left")
+    return at.join(tokens.select(*keys, "token"), keys, "left") if tokens is not None else at
 
 
 def file_size(size: Column) -> Column:

@@ -90,3 +90,19 @@ def pseudonymise(df: DataFrame, *, column: str = "text", spans: str = "spans", s
     at = at.withColumn("_edits", F.transform("substitutions", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("put"))))
     at = splice(at, column=column, edits="_edits")
     return at.withColumn("tokens", F.array_sort(F.array_distinct(F.transform("substitutions", lambda s: s["token"])))).drop("_edits")
+
+
+def found_before_sending(df: DataFrame, rules: Column, default: Column, *, column: str = "rewritten") -> DataFrame:
+    """(doc_id, entity, start, end): what detection still finds in texts that are to be sent, at a threshold that
+    rather refuses a safe text than lets a value go. Only entities that the policy removes count, tokens are no
+    finds, and values are never copied."""
+    from sparkveil.operators import policy, recognizers
+
+    spans = recognizers.exploded(recognizers.detect(df, column=column, out="_left", threshold=dims.RESEND_THRESHOLD).withColumns({"_rules": rules, "_default": default}), spans="_left", keys=("doc_id", "_rules", "_default"))
+    return spans.where(policy.removes(policy.operator_of(F.col("entity"), F.col("_rules"), F.col("_default")))).select("doc_id", "entity", "start", "end")
+
+
+def may_be_sent(df: DataFrame, rules: Column, default: Column, *, column: str = "rewritten") -> DataFrame:
+    """df with `sendable`: whether the last detection finds nothing."""
+    found = found_before_sending(df, rules, default, column=column).select("doc_id").distinct().withColumn("_found", F.lit(True))
+    return df.join(found, "doc_id", "left").withColumn("sendable", F.col("_found").isNull()).drop("_found")

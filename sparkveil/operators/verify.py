@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.functions.text import stripped, with_bound
@@ -66,7 +66,7 @@ def verify_text(df: DataFrame, *, column: str = "rewritten", values: str = "valu
 
 def hex_strings(content: Column) -> Column:
     """Strings written in hexadecimal between angle brackets, decoded; an odd length gets a zero at its end."""
-    raw = F.transform(F.regexp_extract_all(content, F.lit(r"<([0-9A-Fa-f\s]{4,})>"), F.lit(1)), lambda h: F.regexp_replace(h, r"\s", ""))
+    raw = F.transform(F.regexp_extract_all(content, F.lit(HEX), F.lit(1)), lambda h: F.regexp_replace(h, r"\s", ""))
     return F.transform(raw, lambda h: F.decode(F.unhex(F.when(F.length(h) % 2 == 1, F.concat(h, F.lit("0"))).otherwise(h)), "ISO-8859-1"))
 
 
@@ -85,3 +85,70 @@ def dissect(found: DataFrame, visible: tuple[str, ...] = ("texto",)) -> DataFram
 def classify(covered: Column, length: Column, label_found: Column) -> Column:
     """What became of a gold span: covered, partial, wrong label, or not found."""
     return F.when(covered >= length, "covered").when(covered > 0, "partial").when(label_found, "wrong_label").otherwise("not_found")
+
+
+# Fixed value: surfaces in the order in which they are searched.
+SURFACES = ("texto", "anotacoes", "formularios", "anexos", "marcadores", "metadados", "xmp", "streams", "texto-pdfplumber", "bytes-brutos")
+HEX = r"<([0-9A-Fa-f\s]{4,})>"
+
+
+def described(subtype: Column, type_: Column, filter_: Column) -> Column:
+    """What an object is by its keys, the most telling first, each name once."""
+    names = F.array_distinct(F.array_compact(F.transform(F.array(subtype, type_, filter_), lambda n: F.ltrim(n, F.lit("/")))))
+    return F.when(F.size(names) > 0, F.array_join(names, "/")).otherwise("objeto sem tipo declarado")
+
+
+def without_hex(content: Column) -> Column:
+    """The content with its hexadecimal strings decoded in their places."""
+    parts = F.zip_with(F.split(content, HEX, -1), hex_strings(content), lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+    return F.array_join(parts, "")
+
+
+def raw_surface(content: Column) -> Column:
+    """Bytes as text in three encodings, one after another: UTF-8, Latin-1, and two bytes a character, of which those
+    of Latin-1 can be read."""
+    latin = F.decode(content, "ISO-8859-1")
+    return F.concat_ws("\n", F.make_valid_utf8(content.cast("string")), latin, F.replace(latin, F.lit("\0"), F.lit("")))
+
+
+def stream_leaks(values: DataFrame, objects: DataFrame) -> DataFrame:
+    """(doc_id, surface, object_id, value, detail): values in objects (doc_id, object_id, content, subtype, type,
+    filter), as they are or with hexadecimal strings decoded; each value once an object, found as it is first."""
+    both = F.array(F.struct(F.lit(0).alias("way"), F.col("content").alias("content")), F.struct(F.lit(1).alias("way"), without_hex(F.col("content")).alias("content")))
+    hay = objects.select("doc_id", F.struct("object_id", described(F.col("subtype"), F.col("type"), F.col("filter")).alias("what")).alias("o"), F.inline(both))
+    found = leaks(values, hay.select("doc_id", F.lit("streams").alias("surface"), F.struct("o", "way").alias("object_id"), "content"))
+    first = found.groupBy("doc_id", "surface", F.col("object_id.o").alias("o"), "value").agg(F.min_by("detail", "object_id.way").alias("form"))
+    return first.select("doc_id", "surface", "o.object_id", "value", F.format_string("%s, em %s (xref %s)", F.col("form"), F.col("o.what"), F.col("o.object_id").cast("string")).alias("detail"))
+
+
+def dissected(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """found (doc_id, surface, value, detail), pages (doc_id, page, content) of the output: a row a value with its
+    surfaces in the order searched, the first of them, occurrences in the text, their pages, whether it can be read
+    there at all, the object that holds it if a stream does, and its place: what can be read first, then by value."""
+    order = F.array(*map(F.lit, SURFACES))
+    place = F.when(F.array_contains(order, F.col("surface")), F.array_position(order, F.col("surface"))).otherwise(len(SURFACES) + 1)
+    by = found.groupBy("doc_id", "value").agg(F.array_sort(F.collect_set(F.struct(place.alias("p"), "surface"))).alias("s"), F.min(F.when(F.col("surface") == "streams", F.regexp_extract("detail", r"em (.*)$", 1))).alias("object"))
+    read = by.select("doc_id", "value").join(pages, "doc_id").withColumn("n", occurrences(F.col("value"), F.col("content"))).where("n > 0")
+    read = read.groupBy("doc_id", "value").agg(F.sum("n").alias("occurrences"), F.array_sort(F.collect_set("page")).alias("pages"))
+    at = by.join(read, ["doc_id", "value"], "left").select("doc_id", "value", F.transform("s", lambda x: x["surface"]).alias("surfaces"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("pages", F.array().cast(dict(read.dtypes)["pages"])).alias("pages"), F.coalesce("object", F.lit("")).alias("object"))
+    at = at.withColumn("first_surface", F.get("surfaces", F.lit(0))).withColumn("is_visible", F.col("occurrences") > 0)
+    return at.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(~F.col("is_visible"), "value")))
+
+
+def pending(rows: DataFrame, edits: DataFrame, legible: bool = False) -> DataFrame:
+    """Rows (doc_id, version, ...) of dissected leaks that speak of the current version; with `legible` those that can
+    be read in the text."""
+    from sparkveil.operators import session
+
+    now = session.valid_results(rows, edits)
+    return now.where("is_visible") if legible else now
+
+
+def preverified(proposed: DataFrame, cache: DataFrame) -> DataFrame:
+    """(doc_id, version, ok, n_leaks, from_cache): what a verification of each proposed output (doc_id, version,
+    rewritten, values, tokens) says. A result in cache (doc_id, version, ok, n_leaks) for the very version is taken as
+    it is; no file comes of it."""
+    known = proposed.select("doc_id", "version").join(cache, ["doc_id", "version"]).withColumn("from_cache", F.lit(True))
+    fresh = verify_text(proposed.join(cache.select("doc_id", "version"), ["doc_id", "version"], "left_anti"), tokens="tokens")
+    made = fresh.select("doc_id", "version", "ok", F.size("leaks").cast("bigint").alias("n_leaks"), F.lit(False).alias("from_cache"))
+    return known.select("doc_id", "version", "ok", F.col("n_leaks").cast("bigint").alias("n_leaks"), "from_cache").unionByName(made)

@@ -103,45 +103,56 @@ def expected_sql(entity: str) -> str:
     return f"WITH p AS {people_sql()} " + " UNION ALL ".join(parts)
 
 
-#: Pieces of a contract text and the entity each is; None for plain words.
-CONTRACT: list[tuple[str, str | None]] = [
-    ("'Contrato de servicos. CPF '", None),
-    (written("CPF", "masked"), "CPF"),
-    ("', telefone '", None),
-    (written("TELEFONE", "masked"), "TELEFONE"),
-    ("', e-mail '", None),
-    (written("EMAIL", "masked"), "EMAIL"),
-    ("', CNPJ '", None),
-    (written("CNPJ", "masked"), "CNPJ"),
-    ("', CEP '", None),
-    (written("CEP", "masked"), "CEP"),
-    ("'. Repetido: '", None),
-    (written("CPF", "masked"), "CPF"),
-    ("'.'", None),
-]
-CONTRACT_TEXT = "concat(" + ", ".join(p for p, _ in CONTRACT) + ")"
+_FILLER = "'As partes ajustam o que segue, na forma da lei e de boa vontade, sem prejuizo de outras garantias; o que aqui falta rege-se pelo costume. '"
+_NL = "chr(10)"
+
+
+def _slot(entity: str, how: str = "masked") -> tuple[str, str]:
+    return written(entity, how), entity
+
+
+#: Texts of five kinds: pieces of SQL that both engines read, and the entity each is; None for plain words.
+GENRES: dict[str, list[tuple[str, str | None]]] = {
+    "contrato": [("'Contrato de servicos. CPF '", None), _slot("CPF"), ("', telefone '", None), _slot("TELEFONE"), ("', e-mail '", None), _slot("EMAIL"), ("', CNPJ '", None), _slot("CNPJ"), ("', CEP '", None), _slot("CEP"), ("'. '", None), (f"repeat({_FILLER}, cast(1 + k % 4 as int))", None), ("'Repetido: '", None), _slot("CPF"), ("'.'", None)],
+    "peticao": [("'Autos '", None), _slot("PROCESSO_CNJ"), (f"concat('.', {_NL}, 'O autor, identidade RG ')", None), _slot("RG"), ("', inscrito no CPF '", None), _slot("CPF"), (f"concat(',', {_NL}, 'residente na ')", None), _slot("ENDERECO"), ("'. '", None), (_FILLER, None)],
+    "prontuario": [("'Paciente com cartao SUS '", None), _slot("CNS"), ("', contato '", None), _slot("TELEFONE", "spaced"), ("'. '", None), (_FILLER, None), ("'Residente na '", None), _slot("ENDERECO"), ("' e CEP '", None), _slot("CEP"), ("'.'", None)],
+    "rh": [("'Admissao. PIS/PASEP: '", None), _slot("PIS_PASEP"), ("'. '", None), (_FILLER, None), ("'Habilitacao do condutor, CNH '", None), _slot("CNH", "raw"), ("'. '", None), (_FILLER, None), ("'Titulo de eleitor '", None), _slot("TITULO_ELEITOR"), ("'; e-mail '", None), _slot("EMAIL"), ("'.'", None)],
+    "oficio": [(f"repeat({_FILLER}, cast(k % 7 as int))", None), ("'Ao orgao de CNPJ '", None), _slot("CNPJ"), ("', sobre o processo '", None), _slot("PROCESSO_CNJ"), ("', aos cuidados de '", None), _slot("EMAIL"), ("'.'", None)],
+}
+#: Beneath every third text: numbers of the right form whose check digits are wrong, beside the words that name them.
+ANNEX: list[tuple[str, str | None]] = [(f"concat({_NL}, 'Anexo de pendencias. CPF: ')", None), _slot("CPF", "masked_bad"), (f"concat(';', {_NL}, 'empresa de CNPJ ')", None), _slot("CNPJ", "masked_bad"), (f"concat(';', {_NL}, {_FILLER}, 'condutor autuado, CNH ')", None), _slot("CNH", "raw_bad"), ("'.'", None)]
+
+
+def _kinds() -> list[tuple[str, list[tuple[str, str | None]]]]:
+    """A condition on the key and the pieces of its texts, for each kind with and without the annex."""
+    return [(f"k % 5 = {i} and k % 3 {'=' if annex else '<>'} 0", pieces + (ANNEX if annex else [])) for i, pieces in enumerate(GENRES.values()) for annex in (True, False)]
+
+
+def text_sql(shown=lambda piece, entity: piece) -> str:
+    """SQL of the texts, with each piece as `shown` has it."""
+    return "case " + " ".join(f"when {when} then concat({', '.join(shown(p, e) for p, e in pieces)})" for when, pieces in _kinds()) + " end"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) of a contract for each customer."""
-    return people(spark, sf_dir).select(F.col("k").alias("doc_id"), F.expr(CONTRACT_TEXT).alias("text"))
+    """(doc_id, genre, text) of a text for each customer, of the kind that its key says."""
+    genre = F.get(F.array(*map(F.lit, GENRES)), (F.col("k") % 5).cast("int"))
+    return people(spark, sf_dir).select(F.col("k").alias("doc_id"), genre.alias("genre"), F.expr(text_sql()).alias("text"))
 
 
-def gold_sql(where: str = "true") -> str:
-    """The contracts' spans by construction: doc_id, label, start, end, value."""
+def gold_sql() -> str:
+    """The texts' spans by construction, for the oracle: doc_id, label, start, end, value; places are sums of lengths."""
     parts = []
-    for i, (piece, entity) in enumerate(CONTRACT):
-        if entity:
-            before = " + ".join(f"length({p})" for p, _ in CONTRACT[:i])
-            parts.append(f"SELECT k AS doc_id, '{entity}' AS label, {before} AS \"start\", {before} + length({piece}) AS \"end\", {piece} AS value FROM p")
-    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {where}"
+    for when, pieces in _kinds():
+        for i, (piece, entity) in enumerate(pieces):
+            if entity:
+                before = " + ".join(f"length({p})" for p, _ in pieces[:i])
+                parts.append(f"SELECT k AS doc_id, '{entity}' AS label, {before} AS \"start\", {before} + length({piece}) AS \"end\", {piece} AS value FROM p WHERE {when}")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)})"
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in Spark, from one pass over the people."""
-    rows = []
-    for i, (piece, entity) in enumerate(CONTRACT):
-        if entity:
-            before = " + ".join(f"length({p})" for p, _ in CONTRACT[:i])
-            rows.append(f"struct('{entity}' as label, {before} as start, {before} + length({piece}) as end, {piece} as value)")
-    return people(spark, sf_dir).select(F.col("k").alias("doc_id"), F.inline(F.expr(f"array({', '.join(rows)})")))
+    """The same in Spark: the pieces of a text as an array, and a running sum of their lengths."""
+    pieces = "case " + " ".join(f"when {when} then array({', '.join('struct(' + p + ' as value, ' + (repr(e) if e else 'cast(null as string)') + ' as label)' for p, e in parts)})" for when, parts in _kinds()) + " end"
+    span = "struct<label:string,start:int,end:int,value:string>"
+    fold = f"aggregate(pieces, struct(0 as at, cast(array() as array<{span}>) as out), (a, p) -> struct(a.at + length(p.value) as at, if(p.label is null, a.out, array_append(a.out, struct(p.label as label, a.at as start, a.at + length(p.value) as end, p.value as value))) as out), a -> a.out)"
+    return people(spark, sf_dir).select("k", F.expr(pieces).alias("pieces")).select(F.col("k").alias("doc_id"), F.inline(F.expr(fold)))

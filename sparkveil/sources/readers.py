@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 CORPUS = "doc_id string, genero string, pdf string, source_text string, gold array<struct<label:string,value:string,start:int,end:int>>"
 INDEX = "n int, semente int, generos map<string,int>, entidades_total int, documentos array<struct<doc_id:string,genero:string,entidades:int>>"
 REGISTER = "participante string, documento string, achou string, segundos string, falsos_alarmes string, observacao string"
+RUNS = "doc_id string, page int, block int, line int, seq int, x0 double, y0 double, x1 double, y1 double, content string"
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -28,11 +29,21 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "length")
 
 
-def upload_status(content: Column, length: Column) -> Column:
-    """The status an upload gets by its bytes: 400 empty, 413 too large, 415 not a PDF, 422 encrypted, else 201."""
-    head = F.substring(content, 1, 4)
-    encrypted = F.contains(F.decode(content, "ISO-8859-1"), F.lit("/Encrypt"))
-    return F.when(F.coalesce(length, F.lit(0)) == 0, 400).when(length > MOST_BYTES, 413).when(head != F.encode(F.lit("%PDF"), "US-ASCII"), 415).when(encrypted, 422).otherwise(201)
+def upload_status(content: Column, length: Column, text: Column | None = None) -> Column:
+    """The status an upload gets by its bytes: 400 empty, 413 too large, 415 not a PDF, 422 encrypted, unreadable, or,
+    where its `text` is given, without any; else 201. A file is encrypted if a trailer or a stream of references names
+    the dictionary for it, unreadable without a place where its references start."""
+    latin = F.decode(content, "ISO-8859-1")
+    encrypted = latin.rlike(r"(?s)(?:trailer\s*<<|/Type\s*/XRef)(?:(?!endobj|startxref).)*/Encrypt\s")
+    unreadable = ~latin.rlike(r"startxref\s+\d+")
+    blank = F.lit(False) if text is None else ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+    broken = F.coalesce(encrypted, F.lit(False)) | unreadable | blank
+    return F.when(F.coalesce(length, F.lit(0)) == 0, 400).when(length > MOST_BYTES, 413).when(F.substring(content, 1, 4) != F.encode(F.lit("%PDF"), "US-ASCII"), 415).when(broken, 422).otherwise(201)
+
+
+def text_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of text of pages, as layout.text_map takes them, from JSON lines that an extractor wrote."""
+    return spark.read.schema(RUNS).json(path)
 
 
 def characters(pages: DataFrame) -> DataFrame:
@@ -44,10 +55,30 @@ def characters(pages: DataFrame) -> DataFrame:
     return chars.where("ch <> ''").select("doc_id", "page", (F.col("start") + F.col("i")).alias("pos"), "ch")
 
 
-def write_verified(df: DataFrame, path: str, *, column: str = "rewritten") -> DataFrame:
-    """Write texts that passed verification; (doc_id, ok) of all. Nothing is written for those that failed."""
-    df.where("ok").select("doc_id", F.col(column).alias("text")).write.mode("overwrite").parquet(path)
-    return df.select("doc_id", "ok")
+def write_verified(df: DataFrame, path: str, *, column: str = "rewritten", edits: DataFrame | None = None) -> DataFrame:
+    """Write texts that passed verification; (doc_id, ok) of all. Nothing is left of those that failed. With edits
+    (doc_id, version), texts (doc_id, version, ...) of a version that is no longer the current one fail too.
+
+    The input is worked out once, beside the output, and then split: the text that was judged is the text written,
+    also where tokens are random. What was judged goes when the output stands.
+    """
+    from sparkveil.operators import session
+
+    spark = df.sparkSession
+    keys = ["doc_id", "ok", F.col(column).alias("text"), *(["version"] if edits is not None else [])]
+    judged = f"{path.rstrip('/')}.judged"
+    df.select(*keys).write.mode("overwrite").parquet(judged)
+    all_ = spark.read.parquet(judged)
+    good = all_.where("ok")
+    if edits is not None:
+        good = session.valid_results(good, edits)
+    good.select("doc_id", "text").write.mode("overwrite").parquet(path)
+    status = f"{path.rstrip('/')}.status"
+    passed = spark.read.parquet(path).select("doc_id").distinct().withColumn("passed", F.lit(True))
+    all_.select("doc_id").join(passed, "doc_id", "left").select("doc_id", F.coalesce("passed", F.lit(False)).alias("ok")).write.mode("overwrite").parquet(status)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(judged)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.parquet(status)
 
 
 def markdown(rows: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:

@@ -20,9 +20,19 @@ def test_corpus_and_register(spark, tmp_path):
 
 
 def test_upload_status(spark):
-    rows = [(b"",), (b"hello",), (b"%PDF-1.7 /Encrypt",), (b"%PDF-1.7",)]
-    out = spark.createDataFrame(rows, "content binary").select(readers.upload_status(F.col("content"), F.length("content")).alias("s"))
-    assert [r["s"] for r in out.collect()] == [400, 415, 422, 201]
+    good = b"%PDF-1.7 (text with /Encrypt in it) trailer << /Root 1 0 R >> startxref 9 %%EOF"
+    rows = [(b"", ""), (b"hello", "x"), (good.replace(b"/Root", b"/Encrypt 5 0 R /Root"), "x"), (b"%PDF-1.7", "x"), (good, " \n\u00a0"), (good, "x")]
+    out = spark.createDataFrame(rows, "content binary, text string").select(readers.upload_status(F.col("content"), F.length("content"), F.col("text")).alias("s"))
+    assert [r["s"] for r in out.collect()] == [400, 415, 422, 422, 422, 201]
+
+
+def test_what_was_judged_is_what_is_written(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.rand().alias("r"), (F.col("id") % 2).alias("version"))
+    df = rows.select("doc_id", "version", F.col("r").cast("string").alias("rewritten"), (F.col("r") < 0.5).alias("ok"))
+    edits = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("version"))
+    out = readers.write_verified(df, f"{tmp_path}/out", edits=edits)
+    kept = {r["doc_id"]: float(r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert all(x < 0.5 and d % 2 == 1 for d, x in kept.items()) and {r["doc_id"] for r in out.where("ok").collect()} == set(kept) and out.count() == 40
 
 
 def test_gated_sink_characters_and_report(spark, tmp_path):
