@@ -33,9 +33,10 @@ def failure_windows(failures: DataFrame, delay: str = "15 minutes") -> DataFrame
     return at.select("account", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "failures", (F.col("failures") >= session.FAILURES).alias("blocked"))
 
 
-def latest_versions(edits: DataFrame) -> DataFrame:
-    """(doc_id, version): rises of a document's version as edits (doc_id, version) arrive; late ones change nothing.
-    State is one number a document and goes after a review session's time without edits."""
+def latest_versions(edits: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(doc_id, version): rises of a document's version as edits (doc_id, version, ts) arrive; late ones change nothing.
+    State is one number a document and goes when the watermark is a review session's time past its last edit. Event
+    time and not the clock's decides, so a run over what is there comes to an end."""
 
     def advance(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -43,11 +44,15 @@ def latest_versions(edits: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else -1
-        now = max([before, *(int(v) for pdf in batches for v in pdf["version"].dropna())])
+        before = now = state.get[0] if state.exists else -1
+        last = state.getCurrentWatermarkMs()
+        for pdf in batches:
+            now = max([now, *(int(v) for v in pdf["version"].dropna())])
+            last = max([last, *(int(t.timestamp() * 1000) for t in pdf["ts"].dropna())])
         state.update((now,))
-        state.setTimeoutDuration(session.REVIEW_HOURS * 3_600_000)
+        state.setTimeoutTimestamp(last + session.REVIEW_HOURS * 3_600_000)
         if now > before:
             yield pd.DataFrame({"doc_id": [key[0]], "version": [now]})
 
-    return edits.groupBy("doc_id").applyInPandasWithState(advance, "doc_id bigint, version bigint", "version bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    at = edits.withWatermark("ts", delay)
+    return at.groupBy("doc_id").applyInPandasWithState(advance, "doc_id bigint, version bigint", "version bigint", "append", GroupStateTimeout.EventTimeTimeout)
