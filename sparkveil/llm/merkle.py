@@ -112,7 +112,8 @@ def differing(found_in: Trees) -> DataFrame:
             children = F.explode(F.sequence(F.col("place") * FANOUT, F.col("place") * FANOUT + (FANOUT - 1)))
             # From the collection's tree down to the files' own roots, a place is the number of a file.
             on = ["file_id"] if k == found_in.within else ["file_id", "place"]
-            level = level.join(wrong.select(children.alias("file_id")) if k == found_in.within else wrong.select("file_id", children.alias("place")), on, "left_semi")
+            below = wrong.select(children.alias("file_id")) if k == found_in.within else wrong.select("file_id", children.alias("place"))
+            level = level.join(below.hint("merge"), on, "left_semi")
         sides = [F.max(F.when(F.col("replica") == r, F.col("hash"))) for r in (0, 1)]
         wrong = level.groupBy("file_id", "place").agg(sides[0].alias("a"), sides[1].alias("b")).where("NOT (a <=> b)").select("file_id", "place")
     return wrong
