@@ -52,11 +52,10 @@ CURRENT = POLICIES[3]
 
 
 def _windows(words: Column) -> Column:
-    """A hash for each three-word window: of the words' hashes, two at a time, so that arrays hold plain numbers."""
+    """A hash for each three-word window."""
     n = F.size(words)
-    pairs = lambda a, b: F.xxhash64(a, b)
-    two = F.zip_with(F.slice(words, F.lit(1), n - 2), F.slice(words, F.lit(2), n - 2), pairs)
-    return F.when(n >= 4, F.zip_with(two, F.slice(words, F.lit(3), n - 2), pairs)).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(F.slice(words, F.lit(1), n - 2), lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -69,26 +68,25 @@ def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters"]
     own = spare_prefix(docs.columns)
-    body, words, hashes, pairs, places, lines = (f"{own}{n}" for n in ("text", "words", "hashes", "pairs", "places", "lines"))
+    body, words, hashes, pairs, places, lines, solid = (f"{own}{n}" for n in ("text", "words", "hashes", "pairs", "places", "lines", "solid"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     at = docs.select(*others, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
-    at = at.select("*", F.filter(F.split(body, _SPACE), lambda w: w != "").alias(words), F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0).alias(lines))
+    at = at.select("*", F.array_remove(F.split(body, _SPACE), "").alias(words), F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "").alias(lines), F.translate(body, _SPACES, "").alias(solid))
     at = at.select("*", _windows(F.col(words)).alias(hashes))
-    ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Only texts with an equal pair of windows pay for the sort.
     some = F.size(F.array_distinct(hashes)) < F.size(hashes)
     at = at.select("*", F.when(some, ranked).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias(pairs))
     m = F.size(pairs)
     less = F.greatest(m - 1, F.lit(0))
     same = F.zip_with(F.slice(pairs, F.lit(1), less), F.slice(pairs, F.lit(2), less), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    found = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+    found = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     at = at.select("*", F.when(m > 0, found).otherwise(F.array().cast("array<int>")).alias(places))
     k = F.size(places)
     less = F.greatest(k - 1, F.lit(0))
     gaps = F.zip_with(F.slice(places, F.lit(1), less), F.slice(places, F.lit(2), less), lambda a, b: F.least(b - a, F.lit(3)))
     cover = F.when(k > 0, F.aggregate(gaps, F.lit(3).cast("bigint"), lambda total, g: total + g)).otherwise(F.lit(0)).cast("bigint")
     size = F.length(body)
-    solid = F.translate(body, _SPACES, "")
     measured = {
         "n_words": F.size(words),
         "word_chars": F.length(solid),
