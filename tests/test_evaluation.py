@@ -43,3 +43,22 @@ def test_alignment(spark):
     out = evaluate.align(docs, gold).collect()
     assert sorted((r["start"], r["end"]) for r in out if not r["defect"]) == [(6, 11), (15, 20)]
     assert evaluate.defect_rate(evaluate.align(docs, gold)).first()["defects"] == 1
+
+
+def test_timing_runs_to_the_last_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        return spark.range(100).mapInPandas(lambda batches: (seen.add(len(b)) or b for b in batches), "id long")
+
+    out, seconds = evaluate.timed(make)
+    assert seen.value == 100 and seconds > 0 and out.columns == ["id"]
+
+
+def test_alignment_of_long_texts_with_few_changes(spark):
+    lines = [f"linha {i} com Fulano {i}\n" for i in range(4000)]
+    source = "".join(lines)
+    target = "".join(line.replace("com", "com  ") if i % 500 == 0 else line for i, line in enumerate(lines))
+    gold = [(1, "P", f"Fulano {i}", source.index(f"Fulano {i}\n"), source.index(f"Fulano {i}\n") + len(f"Fulano {i}")) for i in range(0, 4000, 250)]
+    out = evaluate.align(spark.createDataFrame([(1, source, target)], "doc_id int, source_text string, text string"), spark.createDataFrame(gold, "doc_id int, label string, value string, start int, end int")).collect()
+    assert len(out) == 16 and all(target[r["start"] : r["end"]] == r["value"] and target[r["end"]] == "\n" for r in out)

@@ -82,3 +82,10 @@ def test_pauses_and_the_end_of_a_login(spark):
     out = session.logins(uses).orderBy("account", "login").collect()
     minutes = lambda t: int((t - t0).total_seconds() // 60)
     assert [(r["account"], minutes(r["started"]), minutes(r["last_used"])) for r in out] == [(1, 0, 0), (1, 30, 59), (2, 0, 715), (2, 744, 1444)]
+
+
+def test_ids_and_times(spark):
+    ids = [r[0] for r in spark.range(50).select(session.fresh_id()).collect()]
+    assert len(set(ids)) == 50
+    row = spark.range(1).select(session.utc_now().alias("now"), F.current_timestamp().alias("local"), session.token_hash(F.lit("abc")).alias("h")).first()
+    assert abs((row["now"] - row["local"]).total_seconds()) < 60 and row["h"].startswith("ba7816bf")
