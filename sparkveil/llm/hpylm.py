@@ -34,7 +34,7 @@ from sparkveil.llm._words import mix, word_hashes
 
 #: Bits that tell contexts apart; tokens of a block; bytes of text for which a shard of words is set up; tokens beyond
 #: which a word is dealt over all shards, as far as a sample of one document in SAMPLED says.
-CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 20, 1 << 20, 16 << 20
+CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 20, 1 << 20, 8 << 20
 CLASSES = 1 << CLASS_BITS
 HOT_TOKENS, SAMPLED = 400_000, 32
 #: Ranges in which contexts' totals are added up.
@@ -286,10 +286,12 @@ class Shard:
         words, classes = np.concatenate(words), np.concatenate([p["classes"] for p in parts])
         self.checks = [checksum(words[a:b], classes[a:b]) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
         own, kinds, self.number = distinct_pairs(words, classes)
+        self.number = self.number.astype(np.uint32)
+        del words, classes
         self.customers = np.bincount(self.number, weights=np.concatenate([p["trained"] for p in parts]), minlength=len(own)).astype(np.int64)
-        self.classes = kinds.astype(np.int64)
+        self.classes = kinds
         fresh = np.concatenate(([True], own[1:] != own[:-1]))
-        self.word = np.cumsum(fresh) - 1
+        self.word = (np.cumsum(fresh) - 1).astype(np.int32)
         self.own_tokens = np.bincount(self.word, weights=self.customers).astype(np.int64)
         # The place of each word among the hot ones, -1 for the shard's own.
         names = own[fresh]
@@ -333,7 +335,7 @@ class Shard:
         """One Gibbs sweep over this shard's dishes, contexts first, then the word restaurant; g has the numbers of the
         state it starts from. Hot words sit in the word restaurant when all shards' tables are known."""
         d = _discount(g["ones"], g["twos"])
-        pull = (THETA_CONTEXT + d * g["tables"])[self.classes] * self.word_probability(g)[self.word]
+        pull = (THETA_CONTEXT + d * g["tables"][self.classes]) * self.word_probability(g)[self.word]
         self.tables = seat(self.customers, pull, d, rng)
         arrived = np.where(self.hot < 0, self.own_arrived(), 0)
         self.root_tables = seat(arrived, np.full(len(arrived), _root_pull(g)), _discount(g["root_ones"], g["root_twos"]), rng)
@@ -341,8 +343,8 @@ class Shard:
     def predictive(self, g: dict) -> np.ndarray:
         """The probability of each pair's word in its context in this state, whose numbers g has."""
         d = _discount(g["ones"], g["twos"])
-        back = (THETA_CONTEXT + d * g["tables"])[self.classes] * self.word_probability(g)[self.word]
-        return (self.customers - d * self.tables + back) / (THETA_CONTEXT + g["tokens"])[self.classes]
+        back = (THETA_CONTEXT + d * g["tables"][self.classes]) * self.word_probability(g)[self.word]
+        return (self.customers - d * self.tables + back) / (THETA_CONTEXT + g["tokens"][self.classes])
 
 
 def _with_hot(own: np.ndarray, hot: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -376,6 +378,20 @@ def with_hot_words(total: dict, before: dict | None, seed: int, sweep: int) -> d
     return out
 
 
+def _sent(states: list[dict]) -> list[bytes]:
+    """States as tasks get them, a megabyte or two each: counts as whole numbers, compressed. Contexts' tokens are the
+    same in all, so only the first has them."""
+    arrays = [{k: np.asarray(v, np.uint32) if k in ("tables", "tokens") else np.atleast_1d(np.asarray(v, float)) for k, v in g.items() if i == 0 or k != "tokens"} for i, g in enumerate(states)]
+    return [_pack(**a) for a in arrays]
+
+
+def _received(blobs: list[bytes]) -> list[dict]:
+    states = [{k: float(v[0]) if k in _NUMBERS else v for k, v in _unpack(b).items()} for b in blobs]
+    for g in states:
+        g["tokens"] = states[0]["tokens"]
+    return states
+
+
 def _drawn(shard: Shard, known: list[dict], seed: int, number: int) -> Iterator[int]:
     """Draw a sweep for each state known, in every job alike; yields after each how many there were."""
     for i, g in enumerate(known):
@@ -388,15 +404,16 @@ def _totals(stored_shards: DataFrame, known: list[dict], hot: np.ndarray, seed:
     numbers in RANGES parts, which are added up side by side; 2 * CLASSES numbers, two a hot word and a few reach the
     driver, whatever the input."""
     spark = stored_shards.sparkSession
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(_sent(known))
     width = CLASSES // RANGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict | None = None
+        states = _received(shared.value)
         for batch in batches:
             for number, blobs in zip(batch.column(0).to_pylist(), batch.column(2)):
                 shard = Shard(blobs.as_py(), hot)
-                for _ in _drawn(shard, shared.value, seed, number):
+                for _ in _drawn(shard, states, seed, number):
                     pass
                 own = shard.sums(len(hot))
                 total = own if total is None else add_up([total, own])
@@ -429,10 +446,10 @@ def _totals(stored_shards: DataFrame, known: list[dict], hot: np.ndarray, seed:
 
 def _replies(stored_shards: DataFrame, states: list[dict], hot: np.ndarray, seed: int) -> DataFrame:
     """For each block and shard: training tokens of the block's words there, and log10 probabilities of its pairs."""
-    shared = stored_shards.sparkSession.sparkContext.broadcast(states)
+    shared = stored_shards.sparkSession.sparkContext.broadcast(_sent(states))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = _received(shared.value)
         for batch in batches:
             for number, blocks, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 shard = Shard(blobs.as_py(), hot)
