@@ -193,14 +193,14 @@ def _blocks(docs: DataFrame, shards: int, part: str, hot: np.ndarray) -> DataFra
     return map_arrow(docs, run, _ROW)
 
 
-def _shards(pairs: DataFrame) -> DataFrame:
-    """(shard, blocks, blobs), a row for each shard."""
+def _shards(pairs: DataFrame, shards: int) -> DataFrame:
+    """(shard, blocks, blobs), a row for each shard. Partitions grow in number with the shards, not in size."""
 
     def run(key, group):  # without hints, Spark takes these for a key and a table
         group = group.sort_by("block").combine_chunks()
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blocks": pa.array([group.column("block").to_pylist()], pa.list_(pa.int64())), "blobs": pa.array([group.column("blob").to_pylist()], pa.list_(pa.binary()))})
 
-    return pairs.groupBy("shard").applyInArrow(run, "shard int, blocks array<bigint>, blobs array<binary>")
+    return pairs.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "shard int, blocks array<bigint>, blobs array<binary>")
 
 
 class Stirling:
@@ -492,7 +492,7 @@ def language_model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, ceil(size / SHARD_BYTES))
     hot = hot_words(rows) if shards > 1 else np.zeros(0, np.uint64)
-    known_pairs = stored(_shards(_blocks(rows, shards, "pairs", hot)), "shards")
+    known_pairs = stored(_shards(_blocks(rows, shards, "pairs", hot), shards), "shards")
     states: list[dict] = []
     for _ in range(1 + BURN_IN + KEPT):
         states.append(_totals(known_pairs, states, hot, seed))
@@ -521,4 +521,4 @@ def language_model_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "
         })
 
     together = _blocks(rows, shards, "docs", hot).unionByName(_replies(known_pairs, states, hot, seed))
-    return together.groupBy("block").applyInArrow(run, _SCORES)
+    return together.repartition(shards, "block").groupBy("block").applyInArrow(run, _SCORES)
