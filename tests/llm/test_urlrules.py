@@ -52,3 +52,10 @@ def test_columns_with_names_of_its_own(spark):
     df = spark.createDataFrame([(1, "http://a.org/x", 7, 8)], "page_id bigint, url string, action int, _vhost int")
     row = urlrules.verdicts(df, URL_RULES).first()
     assert (row["rule"], row["verdict"], row["action"], row["_vhost"]) == ("org/", "allow", 7, 8)
+
+
+def test_many_urls_without_a_host_and_one_popular_head(spark):
+    rows = [(i, None) for i in range(3000)] + [(i, "no scheme") for i in range(3000, 6000)] + [(i, "http://a.example.org/en/1/x") for i in range(6000, 9000)] + [(9000, "http://b.org/y")]
+    df = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id bigint, url string, host string, _vhost string").repartition(5)
+    out = urlrules.verdicts(df, [("block", "example.org/en/1"), ("allow", "org/")]).groupBy("rule", "verdict", "host").count().collect()
+    assert {(r["rule"], r["verdict"], r["host"], r["count"]) for r in out} == {(None, "allow", "", 6000), ("example.org/en/1", "block", "a.example.org", 3000), ("org/", "allow", "b.org", 1)}
