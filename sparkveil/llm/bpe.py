@@ -24,7 +24,7 @@ from sparkveil.llm._words import mix, span_hashes
 
 #: Pre-tokens outside the vocabulary whose merges a worker remembers in each of two generations: when the younger
 #: one is full it becomes the older one, and what is asked for again moves to the younger. Others are merged again.
-CACHE_TOKENS = 220_000
+CACHE_TOKENS = 150_000
 #: Rows that are decoded in one step.
 DECODE_ROWS = 256
 
@@ -89,12 +89,8 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     without cost to the garbage collector, which lists by the hundred thousand are not."""
     n = len(piece)
     ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
     rank_of = ranks.get
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
