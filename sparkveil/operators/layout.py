@@ -36,9 +36,10 @@ def page_of(points: DataFrame, pages: DataFrame, position: str = "start") -> Dat
 
 def span_lines(chars: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, start, end, line, page, x0, y0, x1, y1): a span's boxes, one for each visual line: characters whose
-    top and bottom stay within the tolerance of the character before, on one page."""
-    c, s = chars.where("x0 IS NOT NULL"), spans.select("doc_id", "start", "end").distinct()
-    inside = c.join(s, "doc_id").where("pos >= start AND pos < end")
+    top and bottom stay within the tolerance of the character before, on one page. Spans meet characters by position,
+    so the work is that of the spans' lengths."""
+    c, s = chars.where("x0 IS NOT NULL"), spans.select("doc_id", "start", "end").distinct().where("end > start")
+    inside = c.join(s.withColumn("pos", F.explode(F.expr("sequence(start, end - 1)"))), ["doc_id", "pos"])
     order = Window.partitionBy("doc_id", "start", "end").orderBy("pos")
     far = lambda y: F.abs(F.col(y) - F.lag(y).over(order)) > LINE_TOLERANCE
     fresh = F.coalesce((F.lag("page").over(order) != F.col("page")) | far("y0") | far("y1"), F.lit(True))
