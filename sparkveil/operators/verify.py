@@ -82,11 +82,6 @@ def dissect(found: DataFrame, visible: tuple[str, ...] = ("texto",)) -> DataFram
     return found.groupBy("doc_id", "value").agg(F.array_sort(F.collect_set("surface")).alias("surfaces"), F.countDistinct("surface").alias("n_surfaces"), F.max(F.col("surface").isin(*visible)).alias("is_visible"))
 
 
-def classify(covered: Column, length: Column, label_found: Column) -> Column:
-    """What became of a gold span: covered, partial, wrong label, or not found."""
-    return F.when(covered >= length, "covered").when(covered > 0, "partial").when(label_found, "wrong_label").otherwise("not_found")
-
-
 # Fixed value: surfaces in the order in which they are searched.
 SURFACES = ("texto", "anotacoes", "formularios", "anexos", "marcadores", "metadados", "xmp", "streams", "texto-pdfplumber", "bytes-brutos")
 HEX = r"<([0-9A-Fa-f\s]{4,})>"

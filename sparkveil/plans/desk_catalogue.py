@@ -287,3 +287,81 @@ def detected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection of two entities alone."""
     found = recognizers.detect(t.contracts(spark, sf_dir), entities=("CEP", "EMAIL"))
     return recognizers.exploded(found).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# Policies, uploads, reports, edits of texts.
+
+_MODES = ("manter", "tarja", "pseudonimo")
+
+
+@query("manual_operators", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CASE WHEN d <> 'manter' THEN d ELSE 'tarja' END WHEN r <> 'manter' THEN r WHEN d <> 'manter' THEN d ELSE 'tarja' END AS operator FROM (SELECT n_nationkey, ['manter', 'tarja', 'pseudonimo'][(n_nationkey % 3 + 1)::INT] AS d, ['manter', 'tarja', 'pseudonimo'][(n_nationkey // 3 % 3 + 1)::INT] AS r FROM nation)")
+def manual_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removes a span: marked by hand or of a class with a rule, under each default."""
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _MODES)), (i % 3 + 1).cast("int"))
+    k = F.col("n_nationkey")
+    at = table(spark, sf_dir, "nation").select(k, pick(k).alias("d"), pick(F.floor(k / 3)).alias("r"))
+    entity = F.when(k % 2 == 0, "MANUAL").otherwise("CPF")
+    return at.select("n_nationkey", policy.span_operator(entity, F.create_map(F.lit("CPF"), F.col("r")), F.col("d")).alias("operator"))
+
+
+@query("policy_modes", "SELECT n_nationkey, e.entity, CASE WHEN e.entity = 'CEP' THEN 'manter' WHEN e.entity = 'CPF' AND n_nationkey % 2 = 0 THEN 'manter' ELSE 'pseudonimo' END AS operator FROM nation, (VALUES ('CPF'), ('RG'), ('CEP')) e(entity)")
+def policy_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules brought to one mode, after one of them was changed."""
+    first = F.when(F.col("n_nationkey") % 2 == 0, "manter").otherwise("tarja")
+    rules = F.create_map(F.lit("CPF"), first, F.lit("RG"), F.lit("tarja"), F.lit("CEP"), F.lit("tarja"))
+    changed = policy.with_mode(policy.with_rule(rules, "CEP", "manter"), "pseudonimo")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(changed).alias("entity", "operator"))
+
+
+@query("policy_round_trip", "SELECT 'perfil ' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'manter' ELSE 'tarja' END AS fallback, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END::INTEGER AS n_rules, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey / 100 END::DOUBLE AS threshold FROM nation")
+def policy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles as JSON with parts missing, read, written and read again."""
+    k = F.col("n_nationkey")
+    parts = [F.concat(F.lit('"name": "perfil '), k.cast("string"), F.lit('"')), F.when(k % 2 == 1, F.lit('"default": "tarja"')), F.when(k % 3 != 0, F.lit('"rules": {"CPF": "pseudonimo"}')), F.when(k % 5 != 0, F.concat(F.lit('"threshold": '), (k / 100).cast("string")))]
+    given = table(spark, sf_dir, "nation").select(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("value"))
+    read = policy.from_json(policy.to_json(policy.from_json(given)))
+    return read.select("name", F.col("default").alias("fallback"), F.size("rules").alias("n_rules"), "threshold")
+
+
+@query("upload_statuses", "SELECT c_custkey AS k, [400, 415, 422, 422, 422, 413, 201][(c_custkey % 7 + 1)::INT]::INTEGER AS status FROM customer")
+def upload_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty, of another kind, encrypted, without references, without text, too large, and good."""
+    from sparkveil.sources import readers
+
+    k = F.col("c_custkey") % 7
+    good = "%PDF-1.7 (/Encrypt in a text) trailer << /Root 1 0 R >> startxref 9 %%EOF"
+    body = F.when(k == 0, "").when(k == 1, "ola").when(k == 2, good.replace("/Root", "/Encrypt 5 0 R /Root")).when(k == 3, "%PDF-1.7").otherwise(good)
+    at = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.encode(body, "UTF-8").alias("content"), F.when(k == 4, " \n").otherwise("x").alias("text"))
+    size = F.when(F.col("k") % 7 == 5, readers.MOST_BYTES + 1).otherwise(F.length("content"))
+    return at.select("k", readers.upload_status(F.col("content"), size, F.col("text")).alias("status"))
+
+
+@query("report_lines", "SELECT 0::BIGINT AS line_no, '| r_name | r_regionkey |' AS line UNION ALL SELECT 1, '|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY r_name DESC) + 1, '| ' || r_name || ' | ' || r_regionkey || ' |' FROM region")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkveil.sources import readers
+
+    lines = readers.markdown(table(spark, sf_dir, "region"), ["r_name", "r_regionkey"], [F.desc("r_name")])
+    return lines.select(F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query("blank_texts", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END::INTEGER AS n FROM customer")
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    body = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "").when(k == 2, " \n\t\u00a0\u2003").otherwise("a@b.co")
+    return recognizers.detect(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), body.alias("text"))).select("doc_id", F.size("spans").alias("n"))
+
+
+@query("spliced_texts", "SELECT c_custkey AS doc_id, '<' || c_custkey || '>' || '<x>' || substr('abcdefgh', (c_custkey % 5 + 3)::INT) AS rewritten FROM customer")
+def spliced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that touch, the second given first."""
+    k = (F.col("c_custkey") % 5).cast("int")
+    edits = F.array(F.struct((k + 1).alias("start"), (k + 2).alias("end"), F.lit("<x>").alias("put")), F.struct(F.lit(0).alias("start"), (k + 1).alias("end"), F.concat(F.lit("<"), F.col("c_custkey").cast("string"), F.lit(">")).alias("put")))
+    at = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("abcdefgh").alias("text"), edits.alias("edits"))
+    return rewrite.splice(at).select("doc_id", "rewritten")
+
+
+@query("defect_rate", f"WITH {P}, gold AS ({t.gold_sql()}) SELECT count(*) FILTER (contains(value, ', ')) AS defects, count(*) AS gold, count(*) FILTER (contains(value, ', ')) / count(*) AS rate FROM gold")
+def defect_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkveil.plans.catalogue import align_gold
+
+    return evaluate.defect_rate(align_gold(spark, sf_dir))
