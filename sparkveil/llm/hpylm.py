@@ -18,6 +18,7 @@ replies to each block with the probabilities of its pairs, and blocks are formed
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -84,17 +85,30 @@ def checksum(words: np.ndarray, classes: np.ndarray) -> np.uint64:
 
 
 def _pack(**columns: np.ndarray) -> bytes:
-    """Arrays of any lengths as one compressed Arrow message."""
-    batch = pa.record_batch([pa.array([v]) if v.dtype == bool else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in columns.values()], names=list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    """Arrays of any lengths as one compressed message of few bytes more: a block has a small one for each shard. Bytes
+    of one place in the numbers lie together, as the high ones are mostly zero."""
+    head, body = bytearray([len(columns)]), []
+    for name, v in columns.items():
+        v = np.ascontiguousarray(v)
+        head += bytes([len(name)]) + name.encode() + v.dtype.str.encode().ljust(3) + struct.pack("<I", len(v))
+        body.append(v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes())
+    raw = bytes(head) + b"".join(body)
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    batch = pa.ipc.open_stream(blob).read_next_batch()
-    return {name: batch.column(i).values.to_numpy() for i, name in enumerate(batch.schema.names)}
+    raw = pa.decompress(blob[4:], decompressed_size=struct.unpack("<I", blob[:4])[0], codec="zstd", asbytes=True)
+    at, shapes = 1, []
+    for _ in range(raw[0]):
+        end = at + 1 + raw[at]
+        shapes.append((raw[at + 1 : end].decode(), np.dtype(raw[end : end + 3].decode().strip()), struct.unpack_from("<I", raw, end + 3)[0]))
+        at = end + 7
+    out = {}
+    for name, kind, n in shapes:
+        size = n * kind.itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind)
+        at += size
+    return out
 
 
 _ROW = "block bigint, shard int, blob binary"
