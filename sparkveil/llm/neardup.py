@@ -315,7 +315,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     differ = sum((F.bit_count(_long(F.col("sketch_lo"), i).bitwiseXOR(_long(F.col("sketch_hi"), i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     small = pairs.where((100 * F.least("size_lo", "size_hi") >= PERCENT * F.greatest("size_lo", "size_hi")) & (differ <= sketch_limit())).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
 
-    many = entries.join(buckets.where("n > 2").select("band", "n").hint("merge"), "band").join(sketch.hint("merge"), "node")
+    # A band that a large group of near copies shares has all of them: such buckets are joined where the rows are.
+    full = buckets.where("n > 2").select("band", "n", F.col("n").alias("rows"))
+    many = join_by_count(entries, full, ["band"], "rows", BANDS * ones.count()).join(sketch.hint("merge"), "node")
     cells = in_cells(many, "band", F.col("n"), "node", SKETCH_CHUNK)
     large = by_group(cells.select("band", "cell_i", "cell_j", "own", "node", "n_shingles", "sketch"), ["band", "cell_i", "cell_j"], _sketch_cell, "a bigint, b bigint")
 
@@ -343,8 +345,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     released(members, star)
 
     known = classes.join(joined.hint("merge"), "node", "left").where("members > 1 OR component IS NOT NULL")
-    known = known.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
-    out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(known.hint("merge"), ["set_a", "set_b", "n_shingles"], "left")
+    known = stored(known.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"), "members"), "known")
+    total = known.agg(F.sum("members")).first()[0] or 0
+    rows = found.select("doc_id", "n_shingles", "set_a", "set_b")
+    empty = rows.where("n_shingles = 0").withColumn("component", F.lit(None).cast("bigint"))
+    out = join_by_count(rows.where("n_shingles > 0"), known, ["set_a", "set_b", "n_shingles"], "members", total, "left").unionByName(empty)
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
