@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions import text
+from sparkveil.operators import resolve
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -29,19 +30,16 @@ def strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def relaxed(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(label, tp, fp, fn): each gold span takes the first unused prediction of its label that overlaps it, in order
-    of position. Spans of a document and label are folded together."""
-    side = lambda df, n: df.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(n))
-    both = side(gold, "g").join(side(pred, "p"), ["doc_id", "label"], "full")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    both = both.select("label", F.coalesce(F.col("g").cast("array<struct<start:int,end:int>>"), empty).alias("g"), F.coalesce(F.col("p").cast("array<struct<start:int,end:int>>"), empty).alias("p"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("tp"), F.array().cast("array<int>").alias("used"))
-
-    def step(acc: Column, g: Column) -> Column:
-        free = F.filter(F.transform(F.col("p"), lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), i.alias("i"))), lambda x: (x["start"] < g["end"]) & (g["start"] < x["end"]) & ~F.array_contains(acc["used"], x["i"]))
-        return F.when(F.size(free) > 0, F.struct((acc["tp"] + 1).alias("tp"), F.array_append(acc["used"], F.get(free, F.lit(0))["i"]).alias("used"))).otherwise(acc)
-
-    counted = both.withColumn("tp", F.aggregate("g", zero, step, lambda acc: acc["tp"]))
-    return counted.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum(F.size("p") - F.col("tp")).alias("fp"), F.sum(F.size("g") - F.col("tp")).alias("fn"))
+    of position. Spans of a document and label are swept into clusters that share no position, and matched within."""
+    side = lambda df, n: df.groupBy("doc_id", "label").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(n).alias("side"))).alias(f"s{n}"))
+    element = "struct<start:int,end:int,side:int>"
+    both = side(gold, 0).join(side(pred, 1), ["doc_id", "label"], "full").select("label", *(F.coalesce(F.col(c).cast(f"array<{element}>"), F.array().cast(f"array<{element}>")).alias(c) for c in ("s0", "s1")))
+    free = "filter(sequence(0, size(c) - 1), i -> c[i].side = 1 and c[i].start < g.end and g.start < c[i].end and not array_contains(a.used, i))"
+    taken = f"element_at(transform(array({free}), f -> if(size(f) > 0, struct(a.tp + 1 as tp, array_append(a.used, f[0]) as used), a)), 1)"
+    matched = f"aggregate(filter(c, x -> x.side = 0), struct(0L as tp, cast(array() as array<int>) as used), (a, g) -> {taken}, a -> a.tp)"
+    clusters = resolve.clusters_sql("concat(s0, s1)", element)
+    counted = both.withColumn("tp", F.expr(f"aggregate(transform({clusters}, c -> {matched}), 0L, (t, n) -> t + n)"))
+    return counted.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum(F.size("s1") - F.col("tp")).alias("fp"), F.sum(F.size("s0") - F.col("tp")).alias("fn"))
 
 
 def scores(counts: DataFrame) -> DataFrame:
@@ -55,18 +53,22 @@ def macro_f1(scored: DataFrame) -> DataFrame:
 
 
 def coverage_by_span(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """gold with `length`, `covered` (characters any prediction of the document covers) and `labels` (sorted
-    distinct labels that touch it)."""
-    ranges = pred.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"))).alias("ranges"))
-    at = gold.join(ranges, "doc_id", "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int,label:string>>")))
-    zero = F.struct(F.col("start").cast("int").alias("reach"), F.lit(0).alias("n"))
-
-    def step(acc: Column, r: Column) -> Column:
-        a, b = F.greatest(r["start"], acc["reach"]), F.least(r["end"], F.col("end").cast("int"))
-        return F.when(b > a, F.struct(b.alias("reach"), (acc["n"] + b - a).alias("n"))).otherwise(acc)
-
-    touching = F.filter("ranges", lambda r: (r["start"] < F.col("end")) & (F.col("start") < r["end"]))
-    return at.withColumn("covered", F.aggregate("ranges", zero, step, lambda acc: acc["n"])).withColumn("labels", F.array_sort(F.array_distinct(F.transform(touching, lambda r: r["label"])))).withColumn("length", F.col("end") - F.col("start")).drop("ranges")
+    """gold with `length`, `covered` (characters any prediction of the document covers) and `labels` (sorted distinct
+    labels that touch it). A document's spans are swept once into clusters that share no position; a gold span looks at
+    the predictions of its cluster."""
+    others = [c for c in gold.columns if c != "doc_id"]
+    golds = gold.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_g"))
+    ranges = pred.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("label").cast("string").alias("label"), F.lit(-1).alias("i"))).alias("_p"))
+    element = "struct<start:int,end:int,label:string,i:int>"
+    at = golds.join(ranges, "doc_id", "left").withColumn("_p", F.coalesce(F.col("_p").cast(f"array<{element}>"), F.array().cast(f"array<{element}>")))
+    own = "transform(_g, (g, i) -> struct(cast(g.start as int) as start, cast(g.end as int) as end, cast(null as string) as label, i as i))"
+    part = "struct(greatest(a.reach, least(r.end, g.end)) as reach, a.n + greatest(least(r.end, g.end) - greatest(r.start, a.reach), 0) as n)"
+    covered = f"aggregate(filter(c, r -> r.i < 0), struct(g.start as reach, 0 as n), (a, r) -> {part}, a -> a.n)"
+    labels = "array_sort(array_distinct(transform(filter(c, r -> r.i < 0 and r.start < g.end and g.start < r.end), r -> r.label)))"
+    judged = f"transform({resolve.clusters_sql(f'concat({own}, _p)', element)}, c -> transform(filter(c, g -> g.i >= 0), g -> struct(g.i as i, {covered} as covered, {labels} as labels)))"
+    rows = at.select("doc_id", "_g", F.inline(F.expr(f"flatten({judged})")))
+    out = rows.select("doc_id", F.get("_g", F.col("i")).alias("_row"), "covered", "labels").select("doc_id", "_row.*", "covered", "labels")
+    return out.withColumn("length", F.col("end") - F.col("start"))
 
 
 def coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:

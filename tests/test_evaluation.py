@@ -1,3 +1,5 @@
+import random
+
 from sparkveil.operators import evaluate
 
 GOLD = "doc_id int, label string, start int, end int"
@@ -62,3 +64,25 @@ def test_alignment_of_long_texts_with_few_changes(spark):
     gold = [(1, "P", f"Fulano {i}", source.index(f"Fulano {i}\n"), source.index(f"Fulano {i}\n") + len(f"Fulano {i}")) for i in range(0, 4000, 250)]
     out = evaluate.align(spark.createDataFrame([(1, source, target)], "doc_id int, source_text string, text string"), spark.createDataFrame(gold, "doc_id int, label string, value string, start int, end int")).collect()
     assert len(out) == 16 and all(target[r["start"] : r["end"]] == r["value"] and target[r["end"]] == "\n" for r in out)
+
+
+def test_matching_and_coverage_against_plain_loops(spark):
+    rnd = random.Random(6)
+    spans = lambda n: [(d, rnd.choice("AB"), s, s + rnd.randrange(1, 9)) for d in range(6) for s in (rnd.randrange(40) for _ in range(n))]
+    gold, pred = spans(9), spans(11)
+    got = counts(evaluate.relaxed(spark.createDataFrame(gold, GOLD), spark.createDataFrame(pred, GOLD)))
+    want = {}
+    for label in "AB":
+        tp = 0
+        for d in range(6):
+            free = sorted(p[2:] for p in pred if p[:2] == (d, label))
+            for g in sorted(g[2:] for g in gold if g[:2] == (d, label)):
+                hit = next((p for p in free if p[0] < g[1] and g[0] < p[1]), None)
+                if hit:
+                    free.remove(hit)
+                    tp += 1
+        want[label] = (tp, sum(p[1] == label for p in pred) - tp, sum(g[1] == label for g in gold) - tp)
+    assert got == want
+    out = evaluate.coverage_by_span(spark.createDataFrame(gold, GOLD), spark.createDataFrame(pred, GOLD)).collect()
+    plain = sorted((*g, len({i for p in pred if p[0] == g[0] for i in range(max(p[2], g[2]), min(p[3], g[3]))}), sorted({p[1] for p in pred if p[0] == g[0] and p[2] < g[3] and g[2] < p[3]})) for g in gold)
+    assert sorted((r["doc_id"], r["label"], r["start"], r["end"], r["covered"], list(r["labels"])) for r in out) == plain
