@@ -13,8 +13,10 @@ from sparkveil.functions import generators as g
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, one column an entity) for each customer."""
-    return g.with_identifiers(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")))
+    """(k, one column an entity) for each customer. Keys are few bytes and texts made of them many, so keys are dealt over
+    all cores first."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    return g.with_identifiers(keys.repartition(spark.sparkContext.defaultParallelism, "k"))
 
 
 def _sum_sql(x: str, n: int, weight: str) -> str:
