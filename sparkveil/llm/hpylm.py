@@ -35,7 +35,7 @@ from sparkveil.llm._words import mix, word_hashes
 
 #: Bits that tell contexts apart; tokens of a block; bytes of text for which a shard of words is set up; tokens beyond
 #: which a word is dealt over all shards, as far as a sample of one document in SAMPLED says.
-CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 20, 1 << 20, 8 << 20
+CLASS_BITS, BLOCK_TOKENS, SHARD_BYTES = 20, 1 << 19, 8 << 20
 CLASSES = 1 << CLASS_BITS
 HOT_TOKENS, SAMPLED = 400_000, 32
 #: Ranges in which contexts' totals are added up.
@@ -179,6 +179,7 @@ def _blocks(docs: DataFrame, shards: int, part: str, hot: np.ndarray) -> DataFra
         words, classes, counts = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.diff(p[2]) for p in parts]))
         held = np.array([is_held_out(i) for i in ids])
         own, kinds, place = distinct_pairs(words, classes)
+        del parts, words, classes
         if part == "pairs":
             yield from pairs_of(block, own, kinds, np.bincount(place[np.repeat(~held, counts)], minlength=len(own)).astype(np.uint32))
         else:
@@ -268,8 +269,8 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
     for r in np.unique(row):
         a, logs = cuts[r], numbers.rows[r]
         while a < cuts[r + 1]:
-            b = min(cuts[r + 1], a + 50_000)
-            while b - a > 1 and (b - a) * min(reach[drawn[b - 1]], len(logs)) > 4_000_000:
+            b = min(cuts[r + 1], a + 20_000)
+            while b - a > 1 and (b - a) * min(reach[drawn[b - 1]], len(logs)) > 400_000:
                 b = a + (b - a) // 2
             own = drawn[a:b]
             top = int(min(reach[own[-1]], len(logs) - 1))
