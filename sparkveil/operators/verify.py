@@ -9,6 +9,7 @@ from sparkveil.functions.text import stripped, with_bound
 
 #: Fixed value: shorter forms are not looked for.
 LEAST = 5
+DIGITS = r"(?U)^\d+$"
 
 
 def variants(value: Column) -> Column:
@@ -27,9 +28,21 @@ def by_digits(surface: Column) -> Column:
     return F.regexp_replace(F.coalesce(surface, F.lit("")), r"(?U)[.\-/()\s]", "")
 
 
+def is_number(value: Column) -> Column:
+    """Whether a value has no letters but a check letter at its end: what identifiers are written in."""
+    return value.rlike(r"(?U)^\P{L}*[Xx]?$")
+
+
+def whole_number(form: Column) -> Column:
+    """A pattern for digits in words, however separators divide them, that are no part of a longer number. Digits of a
+    value with letters, such as those in the name of an e-mail, stand in longer numbers by chance."""
+    divided = F.regexp_replace(form, r"(?U)(?<=\d)(?=\d)", "[-./() ]*")
+    return F.concat(F.lit(r"(?U)(?<!\d[-./]?)"), divided, F.lit(r"(?![-./]?\d)"))
+
+
 def found_as(forms: Column, words: Column, digits: Column) -> Column:
     """The first form that a surface holds, or null. Forms of digits alone are sought among digits."""
-    hits = F.filter(forms, lambda f: F.contains(F.when(f.rlike(r"(?U)^\d+$"), digits).otherwise(words), f))
+    hits = F.filter(forms, lambda f: F.contains(F.when(f.rlike(DIGITS), digits).otherwise(words), f))
     return F.get(hits, F.lit(0))
 
 
@@ -71,10 +84,12 @@ def hex_strings(content: Column) -> Column:
 
 
 def occurrences(value: Column, page: Column) -> Column:
-    """Times a page holds a value: the most of its forms, each counted without overlap."""
+    """Times a page holds a value: the most of its forms, each counted without overlap. The digits of a value with
+    letters count where they are a whole number."""
     words, digits = by_words(page), by_digits(page)
     count = lambda f, h: ((F.length(h) - F.length(F.replace(h, f, F.lit("")))) / F.length(f)).cast("bigint")
-    return F.coalesce(F.array_max(F.transform(variants(value), lambda f: count(f, F.when(f.rlike(r"(?U)^\d+$"), digits).otherwise(words)))), F.lit(0))
+    alone = lambda f: F.when(is_number(value), count(f, digits)).when(F.contains(digits, f), F.regexp_count(words, whole_number(f)).cast("bigint")).otherwise(F.lit(0))
+    return F.coalesce(F.array_max(F.transform(variants(value), lambda f: F.when(f.rlike(DIGITS), alone(f)).otherwise(count(f, words)))), F.lit(0))
 
 
 def dissect(found: DataFrame, visible: tuple[str, ...] = ("texto",)) -> DataFrame:

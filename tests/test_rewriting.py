@@ -54,3 +54,22 @@ def test_verification_report(spark):
     df = spark.createDataFrame([("[P-00AA] saiu", ["Mariana Souza"], ["[P-00AA]"]), ("Mariana   Souza", ["Mariana Souza"], ["[P-00AA]"]), ("x", ["abc"], [])], "rewritten string, values array<string>, tokens array<string>")
     rows = verify.verify_text(df, tokens="tokens").collect()
     assert [(r["ok"], list(r["leaks"]), list(r["lost_tokens"]), r["n_values"]) for r in rows] == [(True, [], [], 1), (False, ["Mariana Souza"], ["[P-00AA]"], 1), (True, [], [], 0)]
+
+
+MAIL = "cliente19000@exemplo.com.br"
+
+
+@pytest.mark.parametrize(
+    ("value", "page", "times"),
+    [(MAIL, f"{MAIL} e 19.000", 2), (MAIL, "119.000.247-25 e 11900024725", 0), (MAIL, "190.002.471-19", 0), (MAIL, "52998-19000", 0), (MAIL, "n. 19000; 19.000", 2), ("OAB 123.456", "x123456y", 1), ("19.000", "119.000.247-25", 1), ("1234567-X", "0012345678 e 1234567x", 2)],
+)
+def test_digits_of_a_value_with_letters_count_as_whole_numbers(spark, value, page, times):
+    df = spark.createDataFrame([(value, page)], "v string, p string")
+    assert df.select(verify.occurrences(F.col("v"), F.col("p")).alias("n")).first()["n"] == times
+
+
+def test_dissected_mail_is_not_read_in_a_longer_number(spark):
+    found = spark.createDataFrame([(1, "streams", MAIL, "x, em Form (xref 3)")], "doc_id int, surface string, value string, detail string")
+    pages = spark.createDataFrame([(1, 1, "CPF 119.000.247-25"), (1, 2, "11900024725")], "doc_id int, page int, content string")
+    row = verify.dissected(found, pages).first()
+    assert (row["occurrences"], row["pages"], row["is_visible"], row["object"]) == (0, [], False, "Form (xref 3)")
