@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from sparkveil.plans import catalogue, desk_catalogue, review_catalogue  # noqa: F401
 from tests import oracle
@@ -23,3 +24,17 @@ def test_query_without_oracle_has_rows(spark, name):
 def test_every_aligned_value_is_where_it_says(spark):
     rows = catalogue.QUERIES["align_gold"](spark, SMALL).collect()
     assert rows and all(r["defect"] == (", " in r["value"]) for r in rows) and all(r["end"] - r["start"] == len(r["value"]) for r in rows if not r["defect"])
+
+
+def keyed(spark, path, *keys):
+    """Customers of these keys, and what SQL reads them by."""
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}/customer.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["dissected_leaks", "pending_leaks"])
+def test_leaks_of_keys_that_stand_in_other_numbers(spark, tmp_path, name):
+    con = keyed(spark, tmp_path, 7, 19000, 37625, 50325, 61989)
+    oracle.same(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.ORACLES[name])
