@@ -40,9 +40,11 @@ def whole_number(form: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\d[-./]?)"), divided, F.lit(r"(?![-./]?\d)"))
 
 
-def found_as(forms: Column, words: Column, digits: Column) -> Column:
-    """The first form that a surface holds, or null. Forms of digits alone are sought among digits."""
-    hits = F.filter(forms, lambda f: F.contains(F.when(f.rlike(DIGITS), digits).otherwise(words), f))
+def found_as(value: Column, words: Column, digits: Column) -> Column:
+    """The first form of a value that a surface holds, or null. Forms of digits alone are sought among digits; those of a
+    value with letters must be a whole number."""
+    alone = lambda f: F.contains(digits, f) & (is_number(value) | F.rlike(words, whole_number(f)))
+    hits = F.filter(variants(value), lambda f: F.when(f.rlike(DIGITS), alone(f)).otherwise(F.contains(words, f)))
     return F.get(hits, F.lit(0))
 
 
@@ -52,7 +54,7 @@ def leaks(values: DataFrame, surfaces: DataFrame) -> DataFrame:
     short values are not sought."""
     needles = values.select("doc_id", stripped(F.col("value")).alias("value")).where(F.length("value") >= LEAST).groupBy("doc_id").agg(F.collect_set("value").alias("sought"))
     hay = surfaces.select("doc_id", "surface", "object_id", by_words(F.col("content")).alias("words"), by_digits(F.col("content")).alias("digits"))
-    found = F.transform("sought", lambda v: F.struct(v.alias("value"), found_as(variants(v), F.col("words"), F.col("digits")).alias("detail")))
+    found = F.transform("sought", lambda v: F.struct(v.alias("value"), found_as(v, F.col("words"), F.col("digits")).alias("detail")))
     return hay.join(needles, "doc_id").select("doc_id", "surface", "object_id", F.inline(F.filter(found, lambda f: f["detail"].isNotNull())))
 
 
@@ -60,7 +62,7 @@ def leaked_values(text: Column, values: Column) -> Column:
     """Of an array of values, those a text still holds; within the row, without a join."""
     words, digits = by_words(text), by_digits(text)
     sought = F.filter(F.array_distinct(F.transform(values, stripped)), lambda v: F.length(v) >= LEAST)
-    return F.filter(sought, lambda v: found_as(variants(v), words, digits).isNotNull())
+    return F.filter(sought, lambda v: found_as(v, words, digits).isNotNull())
 
 
 def missing_tokens(text: Column, tokens: Column) -> Column:

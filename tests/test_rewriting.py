@@ -73,3 +73,12 @@ def test_dissected_mail_is_not_read_in_a_longer_number(spark):
     pages = spark.createDataFrame([(1, 1, "CPF 119.000.247-25"), (1, 2, "11900024725")], "doc_id int, page int, content string")
     row = verify.dissected(found, pages).first()
     assert (row["occurrences"], row["pages"], row["is_visible"], row["object"]) == (0, [], False, "Form (xref 3)")
+
+
+@pytest.mark.parametrize(
+    ("surface", "leaks"),
+    [(MAIL, True), ("cliente19000 @exemplo", True), ("<3139303030>", False), ("BT <31313930303032343731> Tj 11900024719", False), ("190.002.471-19", False), ("12 19000.", True), ("1-9000", True)],
+)
+def test_digits_of_a_value_with_letters_leak_as_whole_numbers(spark, surface, leaks):
+    df = spark.createDataFrame([(surface,)], "s string").select((F.size(verify.leaked_values(F.col("s"), F.array(F.lit(MAIL)))) > 0).alias("x"))
+    assert df.first()["x"] is leaks
