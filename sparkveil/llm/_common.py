@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.sources.scratch import place, shared_dir
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of text that a Python worker takes up in one step; a longer text makes a step of its own.
@@ -31,23 +32,6 @@ def expose(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset a local session gets one of its
-    own; a cluster has none that all its machines share, which is an error."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        given = "file://" + os.path.join(tempfile.gettempdir(), "sparkveil-shared")
-    return given.rstrip("/")
-
-
-def _place(spark: SparkSession, path: str) -> tuple:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later readers do not recompute it, and its
     lineage ends in files that outlive any executor. `released` removes the files; what is not released goes with
@@ -55,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkveil-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    system, where = _place(spark, path)
+    system, where = place(spark, path)
     system.deleteOnExit(where)
     read = spark.read.schema(df.schema).parquet(path)
     read.stored_at = path
@@ -65,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def released(*tables: DataFrame) -> None:
     """Remove the files of stored tables that nothing reads any more."""
     for df in tables:
-        system, where = _place(df.sparkSession, df.stored_at)
+        system, where = place(df.sparkSession, df.stored_at)
         system.delete(where, True)
 
 

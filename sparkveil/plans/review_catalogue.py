@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.functions import dims, text
 from sparkveil.operators import review
 from sparkveil.plans.catalogue import query, table
+from sparkveil.sources import scratch
 from sparkveil.streaming import streams
 
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(dims.NAMES))
@@ -130,15 +129,16 @@ def trimmed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_redact")
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream, redacted; a bounded run of what would go on."""
+    """The documents as a stream, redacted; a bounded run of what would go on. Its files are in the shared folder, so the
+    driver holds none of the rows."""
     path = f"{sf_dir}/documents.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).select("doc_id", "text").schema).option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{sf_dir}/documents.parque[t]")
-    name = f"redacted_{uuid.uuid4().hex}"
-    running = streams.redact_stream(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    redacted, rows, progress = streams.redact_stream(source), scratch.new_folder(spark, "redacted"), scratch.new_folder(spark, "progress")
+    running = redacted.writeStream.format("parquet").option("path", rows).option("compression", "zstd").option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(redacted.schema).parquet(rows)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    system, where = scratch.place(spark, path)
+    return system.getFileStatus(where).isDirectory()

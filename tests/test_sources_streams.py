@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from sparkveil.operators import verify
+from sparkveil.plans import review_catalogue
 from sparkveil.sources import readers
 from sparkveil.streaming import streams
 
@@ -68,3 +69,13 @@ def test_streams(spark, tmp_path):
     assert [r["uses"] for r in spark.table("logins").where("account = 1").collect()] == [6]
     run(streams.failure_windows(source), "failures")
     assert spark.table("failures").where("account = 1").count() > 0
+
+
+def test_redacted_documents_stay_out_of_the_driver(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "CPF 529.982.247-25"), (2, None), (3, "nada")], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs.where("doc_id > 3").write.parquet(f"{tmp_path}/none/documents.parquet")
+    tables = {t.name for t in spark.catalog.listTables()}
+    some, none = (review_catalogue.stream_redact(spark, f"{tmp_path}/{d}") for d in ("some", "none"))
+    assert some.inputFiles() and {t.name for t in spark.catalog.listTables()} == tables
+    assert {r["doc_id"]: r["rewritten"] for r in some.collect()} == {1: "CPF [CPF]", 2: None, 3: "nada"} and none.count() == 0
